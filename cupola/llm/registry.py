@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from cupola.llm import simhash
+from cupola.llm import decontaminate, simhash
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
+}
