@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cupola.llm import decontaminate, simhash
+from cupola.llm import bpe, decontaminate, langid, simhash
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_langid": langid.op5_langid,
     "op10_simhash": simhash.op10_simhash,
 }
 

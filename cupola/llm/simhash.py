@@ -35,7 +35,7 @@ SEED = 42
 #: Fingerprints sampled for the vantage points of the upper tree.
 SAMPLE = 20_000
 #: Fingerprints wanted in a shard; the tree stops dividing a sample below that share.
-SHARD = 20_000
+SHARD = 4_000
 #: Points of a leaf inside a shard, in which all pairs are compared.
 LEAF = 384
 #: Vantage points tried at each node.
