@@ -45,7 +45,7 @@ def range_bucket(df: DataFrame, key: str, n: int):
         limits = sorted(set(found.q or [])) if found else []
     if not limits:
         return F.lit(0), 1
-    edges = F.array(*[F.lit(x).cast(df.schema[key].dataType) for x in limits])
+
     # binary search by halving: at most log2(n) comparisons a row, all in generated code
     def halve(lo: int, hi: int):
         if lo == hi:
@@ -53,5 +53,4 @@ def range_bucket(df: DataFrame, key: str, n: int):
         mid = (lo + hi) // 2
         return F.when(F.col(key) >= F.lit(limits[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
 
-    del edges
     return halve(0, len(limits)), len(limits) + 1

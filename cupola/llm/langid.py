@@ -35,7 +35,7 @@ LETTERS = 126
 #: Texts of a batch product.
 BATCH = 256
 #: A pipeline stage rejects texts below this score: no language's regression claims them.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 class Grams:

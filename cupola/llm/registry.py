@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cupola.llm import bpe, decontaminate, langid, simhash
+from cupola.llm import bpe, decontaminate, langid, secrets, simhash
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_langid": langid.op5_langid,
+    "op7_secrets": secrets.op7_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
 
