@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cupola.llm import bpe, decontaminate, langid, secrets, simhash
+from cupola.llm import bpe, decontaminate, langid, secrets, simhash, tokenfile
 
 QUERIES = {
+    "op1_tokens": tokenfile.op1_tokens,
     "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_langid": langid.op5_langid,
