@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from cupola.llm import bpe, decontaminate, langid, secrets, simhash, tokenfile
+from cupola.llm import bpe, decontaminate, langid, secrets, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_tokens": tokenfile.op1_tokens,
     "op2_bpe": bpe.op2_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_langid": langid.op5_langid,
+    "op6_urlfilter": urlfilter.op6_urlfilter,
     "op7_secrets": secrets.op7_secrets,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_urlfilter": urlfilter.OP6_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
 }
