@@ -141,8 +141,11 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
     """The model from the columns doc_id, text, lang. None if no row can be learned from."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    # first within parts of each language, so a frequent one isn't ranked by one task
+    first = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
+    chosen = first.select("doc_id").distinct()
     rows = usable.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").toPandas().drop_duplicates("doc_id").sort_values(["lang", "doc_id"])
     counts: Counter[str] = Counter()
     for t in rows.text:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cupola.llm import bpe, decontaminate, langid, secrets, simhash, tokenfile, urlfilter
+from cupola.llm import bpe, decontaminate, imatch, langid, secrets, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_tokens": tokenfile.op1_tokens,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_langid": langid.op5_langid,
     "op6_urlfilter": urlfilter.op6_urlfilter,
     "op7_secrets": secrets.op7_secrets,
+    "op8_imatch": imatch.op8_imatch,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_imatch": imatch.OP8_SQL,
     "op6_urlfilter": urlfilter.OP6_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
 }
