@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from cupola.plans import queries
+from cupola.plans.oracle import ORACLE_SQL
+
+QUERIES = {name: getattr(queries, name) for name in queries.NAMES}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
