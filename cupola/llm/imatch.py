@@ -2,10 +2,10 @@
 
 The lexicon holds the terms whose inverse document frequency over all documents lies in a band: ln(N / df) from
 ln(1 / MOST) to ln(1 / LEAST), and df of 2 or more. A document keeps its distinct terms that are in the lexicon,
-sorts them, and hashes the list; it does so for the whole lexicon and for randomised subsets of it. A term's MD5
-gives DRAWS numbers, and draw d's subset of rate 1/r has the terms whose d-th number is divisible by r. Small
-subsets see few of a document's terms and survive large edits, large ones tell documents apart. The fingerprint is
-the row of these hashes, eight hexadecimal digits each, `--------` where a subset holds none of the terms.
+sorts them, and hashes the list; it does so for the whole lexicon and for randomised subsets of it. A term's
+SHA-256 gives DRAWS numbers, and draw d's subset of rate 1/r has the terms whose d-th number is divisible by r.
+Subsets that see a few of a document's terms survive large edits, the whole lexicon tells documents apart. The
+fingerprint is the row of these hashes, six hexadecimal digits each, `------` where a subset holds no term.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that hold terms of either; if no
 subset does, it is 1 for equal fingerprints.
@@ -28,10 +28,13 @@ from cupola.llm.common import range_bucket, stored, table
 
 #: Shares of all documents between which a term's document frequency must lie.
 LEAST, MOST = 0.0005, 0.1
-DRAWS = 8
-RATES = (4, 16, 64, 256, 1024)
+DRAWS = 20
+RATES = (64, 256, 1024)
 SUBSETS = 1 + DRAWS * len(RATES)
-NONE = "--------"
+WIDTH = 6
+NONE = "-" * WIDTH
+#: Rows whose terms a task gathers in memory before it sorts instead (on disk if need be).
+GATHERED = 1 << 14
 #: Terms of a lexicon that is broadcast.
 FEW = 2_000_000
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -42,34 +45,32 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), SEPARATOR, -1), lambda t: t != ""))
 
 
-def _mask() -> Column:
-    """The subsets of a term, a bit each: bit 0 for the whole lexicon."""
-    digest, bits, k = F.md5(F.col("term").cast("binary")), F.lit(1).cast("long"), 1
+def _subsets() -> Column:
+    """The numbers of the random subsets that hold a term, from 1 on."""
+    digest, found = F.sha2(F.col("term").cast("binary"), 256), []
     for d in range(DRAWS):
-        number = F.conv(F.substring(digest, 1 + 3 * d, 3), 16, 10).cast("long")
-        for r in RATES:
-            bits, k = bits + F.when(number % r == 0, F.lit(1 << k).cast("long")).otherwise(0), k + 1
-    return bits
+        number = F.conv(F.substring(digest, 1 + 3 * d, 3), 16, 10).cast("int")
+        found += [F.when(number % r == 0, 1 + d * len(RATES) + i) for i, r in enumerate(RATES)]
+    return F.filter(F.array(*found), lambda k: k.isNotNull())
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
-    """(term, mask) of the terms in the band."""
+    """(term, subsets) of the terms in the band."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
-    return counts.where((F.col("df") >= 2) & (F.col("df") >= F.lit(least * n)) & (F.col("df") <= F.lit(most * n))).select("term", _mask().alias("mask"))
+    return counts.where((F.col("df") >= 2) & (F.col("df") >= F.lit(least * n)) & (F.col("df") <= F.lit(most * n))).select("term", _subsets().alias("subsets"))
 
 
 def hashes(kept: Column) -> Column:
-    """The fingerprint of a sorted array of (term, mask)."""
-    made = []
-    for k in range(SUBSETS):
-        own = F.filter(kept, lambda x: x["mask"].bitwiseAND(F.lit(1 << k).cast("long")) != 0) if k else kept  # noqa: B023
-        made.append(F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["term"]), " ").cast("binary")), 1, 8)).otherwise(NONE))
-    return F.concat(*made)
+    """The fingerprint of a sorted array of (term, subsets)."""
+    digest = lambda own: F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, WIDTH)).otherwise(NONE)
+    inside = F.flatten(F.transform(kept, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term")))))
+    of = F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: digest(F.transform(F.filter(inside, lambda p: p["k"] == k), lambda p: p["term"])))
+    return F.concat(digest(F.transform(kept, lambda x: x["term"])), F.array_join(of, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    part = lambda c, i: F.substring(c, 1 + 8 * i, 8)
+    part = lambda c, i: F.substring(c, 1 + WIDTH * i, F.lit(WIDTH))
     at = F.sequence(F.lit(0), F.lit(SUBSETS - 1))
     held = F.size(F.filter(at, lambda i: (part(a, i) != NONE) | (part(b, i) != NONE)))
     same = F.size(F.filter(at, lambda i: (part(a, i) == part(b, i)) & (part(a, i) != NONE)))
@@ -88,15 +89,20 @@ def _following(rows: DataFrame, value: str, name: str) -> DataFrame:
     return led.withColumn(name, F.coalesce("_lead", "_after")["v"]).drop("_lead", "_after")
 
 
-def fingerprints(docs: DataFrame, texts: dict[str, Column], keys: list[str], lex: DataFrame) -> DataFrame:
-    """docs' keys and, for each name and text column, the fingerprint of that text. keys must tell the rows apart."""
-    found = F.array(*[F.struct(F.lit(i).alias("which"), terms(F.coalesce(c, F.lit(""))).alias("terms")) for i, c in enumerate(texts.values())])
-    each = docs.select(*keys, F.explode(found).alias("t")).select(*keys, "t.which", F.explode_outer("t.terms").alias("term"))
+def fingerprints(docs: DataFrame, texts: dict[str, Column], keys: list[str], carried: str, lex: DataFrame) -> DataFrame:
+    """keys, the text column `carried`, and for each name and text column the fingerprint of that text. keys must tell the rows apart.
+
+    A row's terms meet the lexicon one by one and are gathered again where they were: if docs are dealt by one of
+    the keys, no row moves. What is carried travels as one more term, so that keys stay short.
+    """
+    found = F.flatten(F.array(*[F.transform(terms(F.coalesce(c, F.lit(""))), lambda t: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i, c in enumerate(texts.values())]))  # noqa: B023
+    own = F.array(F.struct(F.lit(-1).alias("which"), F.col(carried).alias("term")))
+    each = docs.select(*keys, F.explode(F.concat(own, found)).alias("t")).select(*keys, "t.which", "t.term")
     few = lex.count() <= FEW
-    kept = each.join(F.broadcast(lex) if few else lex, "term", "left")
-    pair = F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))
-    grouped = kept.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("which") == i, pair))).alias(f"_k{i}") for i in range(len(texts))])
-    return grouped.select(*keys, *[hashes(F.col(f"_k{i}")).alias(name) for i, name in enumerate(texts)])
+    kept = each.join(F.broadcast(lex) if few else lex, "term", "left").where("subsets is not null or which = -1")
+    pair = F.struct("term", "subsets")
+    gathered = kept.groupBy(*keys).agg(F.max(F.when(F.col("which") == -1, F.col("term"))).alias(carried), *[F.sort_array(F.collect_list(F.when(F.col("which") == i, pair))).alias(f"_k{i}") for i in range(len(texts))])
+    return gathered.select(*keys, carried, *[hashes(F.col(f"_k{i}")).alias(name) for i, name in enumerate(texts)])
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
@@ -123,23 +129,30 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     rows = with_next_text(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("edited", edited)
     keyed = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
-    prints = fingerprints(keyed, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"], lex)
-    prints = _following(stored(prints, "imatch"), "fingerprint", "next_fingerprint")
+    prints = fingerprints(keyed, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["bucket", "rn", "doc_id", "n_chars"], "edited_sha256", lex)
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, GATHERED)
+    try:
+        prints = stored(prints, "imatch")
+    finally:
+        spark.conf.set(setting, before)
+    prints = _following(prints, "fingerprint", "next_fingerprint")
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
-_BITS = ", ".join(f"(CAST('0x' || substr(md5(term), {1 + 3 * d}, 3) AS BIGINT) % {r}) = 0" for d in range(DRAWS) for r in RATES)
+_NUMBERS = ", ".join(f"(CAST('0x' || substr(sha256(term), {1 + 3 * d}, 3) AS BIGINT) % {r}) = 0" for d in range(DRAWS) for r in RATES)
 _PARTS = " || ".join(
-    ["coalesce(substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8), '--------')"]
-    + [f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (WHERE m[{k}])), 1, 8), '--------')" for k in range(1, SUBSETS)]
+    [f"substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {WIDTH})"]
+    + [f"coalesce(substr(md5(string_agg(term, ' ' ORDER BY term) FILTER (WHERE m[{k}])), 1, {WIDTH}), '{NONE}')" for k in range(1, SUBSETS)]
 )
 
 
 def _like(a: str, b: str) -> str:
-    part = lambda c: f"substr({c}, 1 + 8 * i, 8)"
+    part = lambda c: f"substr({c}, 1 + {WIDTH} * i, {WIDTH})"
     at = f"range(0, {SUBSETS})"
     held = f"len(list_filter({at}, lambda i: {part(a)} <> '{NONE}' OR {part(b)} <> '{NONE}'))"
     same = f"len(list_filter({at}, lambda i: {part(a)} = {part(b)} AND {part(a)} <> '{NONE}'))"
@@ -155,7 +168,7 @@ t AS (
   SELECT rn, 0 AS which, unnest({_TERMS.format('text')}) AS term FROM e
   UNION ALL SELECT rn, 1, unnest({_TERMS.format('edited')}) FROM e),
 lex AS (
-  SELECT term, [{_BITS}] AS m FROM (SELECT term, count(*) AS df FROM t WHERE which = 0 GROUP BY term)
+  SELECT term, [{_NUMBERS}] AS m FROM (SELECT term, count(*) AS df FROM t WHERE which = 0 GROUP BY term)
   WHERE df >= 2 AND df >= {LEAST}::DOUBLE * (SELECT count(*) FROM d) AND df <= {MOST}::DOUBLE * (SELECT count(*) FROM d)),
 p AS (SELECT rn, which, {_PARTS} AS fp FROM t JOIN lex USING (term) GROUP BY rn, which),
 f AS (
