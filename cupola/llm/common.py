@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,8 @@ def range_bucket(df: DataFrame, key: str, n: int):
         return F.when(F.col(key) >= F.lit(limits[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
 
     return halve(0, len(limits)), len(limits) + 1
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it: a lambda's variable is a value, not an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

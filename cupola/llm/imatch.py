@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cupola.llm.common import range_bucket, stored, table
+from cupola.llm.common import bound, range_bucket, stored, table
 
 #: Shares of all documents between which a term's document frequency must lie.
 LEAST, MOST = 0.0005, 0.1
@@ -63,10 +63,10 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
 
 def hashes(kept: Column) -> Column:
     """The fingerprint of a sorted array of (term, subsets)."""
-    digest = lambda own: F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, WIDTH)).otherwise(NONE)
-    inside = F.flatten(F.transform(kept, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term")))))
-    of = F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: digest(F.transform(F.filter(inside, lambda p: p["k"] == k), lambda p: p["term"])))
-    return F.concat(digest(F.transform(kept, lambda x: x["term"])), F.array_join(of, ""))
+    digest = lambda terms: bound(terms, lambda own: F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, WIDTH)).otherwise(NONE))
+    inside = lambda own: F.flatten(F.transform(own, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term")))))
+    of = lambda pairs: F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: digest(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["term"])))
+    return bound(kept, lambda own: F.concat(digest(F.transform(own, lambda x: x["term"])), F.array_join(bound(inside(own), of), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
