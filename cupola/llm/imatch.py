@@ -42,7 +42,7 @@ SEPARATOR = r"[^\p{L}\p{N}]+"
 
 def terms(text: Column) -> Column:
     """Distinct terms: runs of letters and digits, lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), SEPARATOR, -1), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), SEPARATOR, -1), ""))
 
 
 def _subsets() -> Column:
@@ -63,10 +63,25 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
 
 def hashes(kept: Column) -> Column:
     """The fingerprint of a sorted array of (term, subsets)."""
-    digest = lambda terms: bound(terms, lambda own: F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, WIDTH)).otherwise(NONE))
-    inside = lambda own: F.flatten(F.transform(own, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term")))))
-    of = lambda pairs: F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: digest(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["term"])))
-    return bound(kept, lambda own: F.concat(digest(F.transform(own, lambda x: x["term"])), F.array_join(bound(inside(own), of), "")))
+    short = lambda text: F.substring(F.md5(text.cast("binary")), 1, WIDTH)
+    made = "array<struct<k:int,h:string>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        same = acc["k"] == p["k"]
+        return F.struct(
+            p["k"].alias("k"), F.when(same, F.concat(acc["text"], F.lit(" "), p["term"])).otherwise(p["term"]).alias("text"),
+            F.when(same | (acc["k"] == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), short(acc["text"]).alias("h"))))).alias("out"),
+        )
+
+    def subsets(own: Column) -> Column:
+        """Hashes by subset, in one pass over the terms sorted by subset."""
+        pairs = F.array_sort(F.flatten(F.transform(own, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term"))))))
+        start = F.struct(F.lit(0).alias("k"), F.lit("").alias("text"), F.array().cast(made).alias("out"))
+        return F.aggregate(pairs, start, step, lambda acc: F.when(acc["k"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), short(acc["text"]).alias("h"))))))
+
+    row = lambda known: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: F.coalesce(F.try_element_at(known, k), F.lit(NONE))), "")
+    whole = lambda own: F.when(F.size(own) > 0, short(F.array_join(F.transform(own, lambda x: x["term"]), " "))).otherwise(NONE)
+    return bound(kept, lambda own: F.concat(whole(own), bound(F.map_from_entries(subsets(own)), row)))
 
 
 def likeness(a: Column, b: Column) -> Column:
