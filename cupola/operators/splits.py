@@ -6,6 +6,7 @@ it with a `split` column; rows of no set are left out.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,12 @@ def claims(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def author_levels(rows: DataFrame, spec: list, seed: int, overbuffer: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """((doc, level), [(level, last author rank)]): a level takes authors in order until their claimed documents hold its target plus the overbuffer."""
-    ranks = author_ranks(author_documents(rows), seed)
-    claimed = claims(author_documents(rows), ranks)
+    # tables of authors and documents are kept, as each level reads them again; rows are not
+    pairs = author_documents(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    claimed = claims(pairs, author_ranks(pairs, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = rows.groupBy("doc").agg(F.count("*").alias("cnt"))
     per = claimed.join(sizes, "doc").groupBy("author_rank").agg(F.sum("cnt").alias("cnt"))
-    cum = running(per, "author_rank", "author_rank", F.col("cnt"), "cum", part=F.floor(F.col("author_rank") / 100_000))
+    cum = running(per, "author_rank", "author_rank", F.col("cnt"), "cum", part=F.floor(F.col("author_rank") / 100_000)).persist(StorageLevel.MEMORY_AND_DISK)
     base, ends = 0, []
     for level in spec:
         target = sum(n for inner in level for _, n in inner) + overbuffer
@@ -56,6 +58,7 @@ def split_author_documents(rows: DataFrame, spec: list, seed: int, overbuffer: i
     levels_of([sum(([*inner] for inner in level), []) for level in spec])  # names and sizes are sound
     known = rows.withColumn("doc", core_title(F.col("title"))).where(F.col("doc").isNotNull() & (F.size("authors") > 0))
     levels, _ = author_levels(known, spec, seed, overbuffer)
+    levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
     pools, out = known.join(levels, "doc"), None
     for k, level in enumerate(spec):
         one = split_documents(pools.where(F.col("author_level") == k), "key", "doc", level, seed + k, leeway, jurisdiction).withColumn("author_level", F.lit(k))
