@@ -49,10 +49,15 @@ def author_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it: a lambda's variable is a value, not an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def multiset(items: Column) -> Column:
-    """Distinct non-empty items with their counts, sorted: equal multisets are equal values."""
-    kept = F.filter(items, lambda x: x != "")
-    return F.transform(F.array_sort(F.array_distinct(kept)), lambda x: F.struct(x.alias("smi"), F.size(F.filter(kept, lambda y: y == x)).alias("n")))
+    """Distinct non-empty items with their counts, sorted: equal multisets are equal values. NULL stays NULL."""
+    count = lambda kept: F.transform(F.sort_array(F.array_distinct(kept)), lambda x: F.struct(x.alias("smi"), F.size(F.filter(kept, lambda y: y == x)).alias("n")))
+    return bound(F.filter(items, lambda x: x != ""), count)
 
 
 def multiset_add(a: Column, b: Column) -> Column:
@@ -94,7 +99,7 @@ def order_key(key: Column, seed: int, salt: str = "") -> Column:
 def shuffled_join(ms: Column, key: Column, seed: int) -> Column:
     """The expanded items joined by `.` in a seeded order of their own for every key."""
     items = F.transform(expand(ms), lambda x, i: F.struct(F.md5(F.concat(x, F.lit(":"), i.cast("string"), F.lit(":"), key, F.lit(f":{seed}")).cast("binary")).alias("h"), x.alias("x")))
-    return F.array_join(F.transform(F.array_sort(items), lambda e: e["x"]), ".")
+    return F.array_join(F.transform(F.sort_array(items), lambda e: e["x"]), ".")
 
 
 def to_smiles(reactants: Column, products: Column, key: Column, seed: int) -> Column:

@@ -15,7 +15,7 @@ def shared(rows: DataFrame, value: str, split: str = "split") -> DataFrame:
 
 def pairwise(rows: DataFrame, value: str, split: str = "split") -> DataFrame:
     """(split_a, split_b, n): how many values each two splits share."""
-    sets = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
+    sets = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.sort_array(F.collect_set(split)).alias("s")).where(F.size("s") > 1)
     pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("split_a"), b.alias("split_b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.split_a", "p.split_b").agg(F.count("*").alias("n"))
 

@@ -21,7 +21,7 @@ def displaces(cur: Column, new: Column) -> Column:
 def survivors(df: DataFrame, key: str, order: str, name: str, year: str) -> DataFrame:
     """One row of df per key: the fold's survivor. `order` must be unique."""
     events = df.select(key, F.struct(F.col(order).alias("ord"), F.col(name).isNotNull().alias("named"), F.col(year).alias("year")).alias("e"))
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    folded = events.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("es"))
     last = F.aggregate(F.slice(F.col("es"), 2, F.greatest(F.size("es") - 1, F.lit(1))), F.get("es", F.lit(0)), lambda cur, new: F.when(displaces(cur, new), new).otherwise(cur))
     chosen = folded.select(last["ord"].alias(order))
     return df.join(chosen, order, "left_semi")

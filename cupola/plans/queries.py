@@ -86,7 +86,7 @@ def token_limit_filter(spark, sf):
 def _checked(spark, sf):
     """Orders as reactions of part molecules, with the first check that each fails."""
     items = table(spark, sf, "lineitem").join(molecules(spark, sf), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("rid"), "smiles", (F.col("l_linenumber") <= 3).alias("left"))
-    pick = lambda c: C.multiset(F.array_sort(F.collect_list(F.when(c, F.col("smiles")))))
+    pick = lambda c: C.multiset(F.sort_array(F.collect_list(F.when(c, F.col("smiles")))))
     both = items.groupBy("rid").agg(pick(F.col("left")).alias("reactants"), pick(~F.col("left")).alias("products"))
     return both.withColumn("first_failure", checks.first_failure(checks.registry(F.col("reactants"), F.col("products"), token_limit=40)))
 

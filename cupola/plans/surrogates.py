@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, reactants, products): multisets of part numbers modulo 20."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rid"), (F.col("l_partkey") % 20).cast("string").alias("smi"), (F.col("l_linenumber") <= 4).alias("left"))
-    pick = lambda c: multiset(F.array_sort(F.collect_list(F.when(c, F.col("smi")))))
+    pick = lambda c: multiset(F.sort_array(F.collect_list(F.when(c, F.col("smi")))))
     return items.groupBy("rid").agg(pick(F.col("left")).alias("reactants"), pick(~F.col("left")).alias("products"))
 
 
@@ -38,7 +38,7 @@ def reactions(spark: SparkSession, sf_dir: str, authors: bool = False) -> DataFr
     )
     if authors:
         names = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        lists = names.groupBy(F.col("l_orderkey").alias("rid")).agg(F.array_sort(F.collect_set("s_name")).alias("authors"))
+        lists = names.groupBy(F.col("l_orderkey").alias("rid")).agg(F.sort_array(F.collect_set("s_name")).alias("authors"))
         rows = rows.join(lists, "rid", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
     return rows
 
