@@ -75,7 +75,7 @@ def hashes(kept: Column) -> Column:
 
     def subsets(own: Column) -> Column:
         """Hashes by subset, in one pass over the terms sorted by subset."""
-        pairs = F.array_sort(F.flatten(F.transform(own, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term"))))))
+        pairs = F.sort_array(F.flatten(F.transform(own, lambda x: F.transform(x["subsets"], lambda k: F.struct(k.alias("k"), x["term"].alias("term"))))))
         start = F.struct(F.lit(0).alias("k"), F.lit("").alias("text"), F.array().cast(made).alias("out"))
         return F.aggregate(pairs, start, step, lambda acc: F.when(acc["k"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), short(acc["text"]).alias("h"))))))
 
