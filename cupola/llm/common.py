@@ -32,28 +32,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_bucket(df: DataFrame, key: str, n: int):
-    """(column, count): the number of the key range a row falls in, ascending, nulls in range 0.
+#: Key ranges that quantiles bound; more are made by dividing each of them evenly.
+QUANTILES = 512
 
-    The limits are quantiles of the key over all rows, fixed in the plan as literals, so a task that is run
-    again after an executor is lost deals its rows exactly as before. At most n limits reach the driver.
+
+def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Column, int]:
+    """(column, count): the number of the key range a row falls in, ascending with the whole-number key, nulls in range 0.
+
+    The limits are quantiles of the key over all rows, fixed in the plan as literals, so a task that is run again
+    after an executor is lost deals its rows exactly as before. At most QUANTILES limits reach the driver; if more
+    ranges are wanted, each is divided into equal widths.
     """
-    limits = []
+    coarse, c = min(n, QUANTILES), F.col(key)
+    limits, low, high = [], None, None
     if n > 1:
-        at = [i / n for i in range(1, n)]
-        found = df.select(F.percentile_approx(F.col(key), F.array(*[F.lit(x) for x in at]), F.lit(max(10_000, 20 * n))).alias("q")).first()
-        limits = sorted(set(found.q or [])) if found else []
+        at = F.array(*[F.lit(i / coarse) for i in range(1, coarse)])
+        found = df.agg(F.percentile_approx(c, at, F.lit(max(10_000, 20 * coarse))).alias("q"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+        limits, low, high = sorted(set(found.q or [])), found.low, found.high
     if not limits:
         return F.lit(0), 1
 
-    # binary search by halving: at most log2(n) comparisons a row, all in generated code
-    def halve(lo: int, hi: int):
+    # binary search by halving: log2(QUANTILES) comparisons a row, all in generated code
+    def halve(lo: int, hi: int, value) -> Column:
         if lo == hi:
-            return F.lit(lo)
+            return value(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(limits[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
-
-    return halve(0, len(limits)), len(limits) + 1
+        return F.when(c >= F.lit(limits[mid]), halve(mid + 1, hi, value)).otherwise(halve(lo, mid, value))
+
+    parts = -(-n // (len(limits) + 1))
+    if parts == 1:
+        return halve(0, len(limits), F.lit), len(limits) + 1
+    ends = [low, *limits, high + 1]
+    inside = lambda k: F.lit(k * parts) + F.least(F.floor((c - F.lit(ends[k])).cast("double") * parts / max(1, ends[k + 1] - ends[k])).cast("int"), F.lit(parts - 1))
+    return F.when(c.isNull(), 0).otherwise(halve(0, len(limits), inside)), (len(limits) + 1) * parts
 
 
 def bound(value: Column, body) -> Column:

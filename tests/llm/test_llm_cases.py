@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cupola.llm import bpe, decontaminate, imatch, langid, quality, registry, revisit, secrets, simhash, tokenfile, urlfilter
+from cupola.llm import bpe, common, decontaminate, imatch, langid, quality, registry, revisit, secrets, simhash, tokenfile, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, ids string, row string, fp string, bucket string, score string, key string, which string, label string"
 LONG = "lorem ipsum dolor " * 20_000 + "token = abcdefgh12345678"
@@ -116,6 +116,19 @@ def test_quality_without_labels_keeps_all(spark, odd):
     assert {(r.score, r.keep) for r in out} == {(0.5, True)}
 
 
+@pytest.mark.parametrize("n", [1, 3, 40, 1100])
+def test_key_ranges_ascend(spark, n):
+    df = spark.range(3000).select((F.col("id") * F.col("id") - 50).alias("k")).unionByName(spark.createDataFrame([(None,), (5,), (5,)], "k long"))
+    bucket, count = common.range_bucket(df, "k", n)
+    rows = df.select("k", bucket.alias("b")).collect()
+    assert all(0 <= r.b < count for r in rows)
+    assert {r.b for r in rows if r.k is None} == {0}
+    ordered = [r.b for r in sorted((r for r in rows if r.k is not None), key=lambda r: r.k)]
+    assert ordered == sorted(ordered)
+    assert len(set(ordered)) >= min(n, 1000) * 0.6
+    assert common.range_bucket(df.limit(0), "k", n)[1] == 1
+
+
 def test_likeness(spark):
     a = "abcdef" * imatch.SUBSETS
     b = imatch.NONE * imatch.SUBSETS
