@@ -29,6 +29,8 @@ from cupola.llm.common import table
 
 PER_LANG = 600
 LANDMARKS = 240
+#: Chosen documents whose ids are broadcast.
+FEW = 200_000
 RIDGE = 1e-3
 #: Different letters that the kernel tells apart; rarer ones share a symbol.
 LETTERS = 126
@@ -146,6 +148,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
     for by in (["lang", "part"], ["lang"]):
         first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
     chosen = first.select("doc_id").distinct()
+    # per_lang ids a language: counted, then sent to the texts; the texts move only for a table of very many languages
+    chosen = F.broadcast(chosen) if chosen.count() <= FEW else chosen
     rows = usable.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").toPandas().drop_duplicates("doc_id").sort_values(["lang", "doc_id"])
     counts: Counter[str] = Counter()
     for t in rows.text:
