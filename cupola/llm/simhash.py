@@ -219,7 +219,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (rows without an id stay)."""
-    found = near_duplicates(docs).where(F.col("component") == F.col("id")).select(F.col("id").alias("doc_id")).distinct()
+    """Pipeline stage: of each component of near copies the row with the smallest doc_id stays (rows without an id stay).
+
+    It has its own rule, five-word shingles and similarity 0.8; the radius of op10 binds its query only.
+    """
+    from cupola.llm.resemblance import near_copies
+
+    found = near_copies(docs).where(F.col("component") == F.col("id")).select(F.col("id").alias("doc_id")).distinct()
     named, loose = docs.where("doc_id is not null"), docs.where("doc_id is null")
     return named.join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(loose)
