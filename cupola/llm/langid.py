@@ -38,6 +38,10 @@ LETTERS = 126
 BATCH = 256
 #: A pipeline stage rejects texts below this score: no language's regression claims them.
 LEAST_SCORE = 0.3
+#: It also rejects texts whose share of known n-grams is below KNOWN_SHARE of what KNOWN_QUANTILE of the learning rows that are no landmarks fall short of.
+KNOWN_QUANTILE, KNOWN_SHARE = 0.01, 0.9
+#: The least share where every learning row is a landmark.
+KNOWN_ELSE = 0.5
 
 
 class Grams:
@@ -99,6 +103,12 @@ class Model:
         self.norm = np.sqrt(np.array([len(x) for x in landmarks], np.float32))
         self.langs: list[str] = []
         self.weights = np.zeros((len(landmarks), 0), np.float32)
+        self.least_known = KNOWN_ELSE
+
+    def known_share(self, grams: np.ndarray) -> float:
+        """Share of a text's distinct grams that some landmark has. A text of no learned language shares few, whatever its regression."""
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return float((self.known[at] == grams).mean())
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         """Kernel values of texts (their distinct grams) to the landmarks, by one matrix product."""
@@ -124,8 +134,9 @@ class Model:
         solved = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * target))
         self.weights = (root @ solved).astype(np.float32)
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether the text's grams are known enough for the language to claim it."""
+        langs, scores, claimed = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         sets = [self.grams.distinct(t) if t else None for t in texts]
         at = [i for i, x in enumerate(sets) if x is not None]
         for i in range(0, len(at), BATCH):
@@ -133,7 +144,8 @@ class Model:
             best = f.argmax(1)
             for j, b, v in zip(at[i : i + BATCH], best.tolist(), f[np.arange(len(f)), best].tolist(), strict=True):
                 langs[j], scores[j] = self.langs[b], min(1.0, max(0.0, (v + 1) / 2))
-        return langs, scores
+                claimed[j] = scores[j] >= LEAST_SCORE and self.known_share(sets[j]) >= self.least_known
+        return langs, scores, claimed
 
 
 def held_out(id_col: str = "doc_id"):
@@ -160,14 +172,20 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
         return None
     langs = sorted({lang for lang, _ in sets})
     each = max(1, landmarks // len(langs))
-    marks = [x for lang in langs for x in [x for own, x in sets if own == lang][:each]]
+    marks, others = [], []
+    for lang in langs:
+        own = [x for other, x in sets if other == lang]
+        marks += own[:each]
+        others += own[each:]
     model = Model(grams, marks)
+    if others:
+        model.least_known = KNOWN_SHARE * float(np.quantile([model.known_share(x) for x in others], KNOWN_QUANTILE))
     model.fit([x for _, x in sets], [lang for lang, _ in sets])
     return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row; only the text decides."""
+    """(id, lang_pred, score, claimed) for every row; only the text decides."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +193,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 texts = batch.column(1).slice(i, BATCH).to_pylist()
-                langs, scores = own.score(texts) if own else (["und"] * len(texts), [0.0] * len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, BATCH), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+                langs, scores, claimed = own.score(texts) if own else (["und"] * len(texts), [0.0] * len(texts), [False] * len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, BATCH), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())], names=["id", "lang_pred", "score", "claimed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, claimed boolean")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +206,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in no known language go (`und`, or a score below LEAST_SCORE)."""
+    """Pipeline stage: documents in no known language go (`und`, a score below LEAST_SCORE, or too few known n-grams)."""
     row = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = identify(row, train(docs), id_col="row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("id.*").select(*docs.columns)
+    return found.where("claimed").select("id.*").select(*docs.columns)
