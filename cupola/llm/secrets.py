@@ -3,11 +3,13 @@
 Base kinds are matched leftmost and without overlap, each by itself: assignments to a secret-like name, access
 keys, long hexadecimal runs. The method adds `entropy_hex` and `entropy_base64` spans. A candidate is a run of 20
 or more of A-Z a-z 0-9 + / _ = - that holds a digit. A window of 20 characters slides over it; the counts of its
-symbols, and of its digits, small and capital letters and non-hexadecimal characters, change by the character that
-enters and the one that leaves, and the entropy follows from sum(c log2 c), kept in whole micro-units so that it
-stays exact. A window without non-hexadecimal characters is of the class hex, any other of the class base64; each
-class has its own threshold and the mixture of characters that it must hold. Windows of one class that touch are
-merged to one span. Candidates that an allow-list pattern matches add nothing; base kinds are never suppressed.
+symbols, and of its digits, small and capital letters, signs and non-hexadecimal characters of either case, change by
+the character that enters and the one that leaves, and the entropy follows from sum(c log2 c), kept in whole
+micro-units so that it stays exact. A window is judged by the class that it uses, each with its own threshold: hex
+(digits and a-f, or digits and A-F), single (digits and letters of one case, no signs, as slugs and paths have), and
+base64 (digits and letters of both cases); each must hold a digit and its letters. Windows of hex give `entropy_hex`,
+those of single and base64 `entropy_base64`; windows of one kind that touch are merged to one span. Windows that
+overlap a match of an allow-list pattern add nothing, others of the same candidate do; base kinds are never suppressed.
 
 Null and empty texts have no spans. Every row is kept, with repeated ids too; other columns are not looked at.
 Positions are code points, ends exclusive.
@@ -32,8 +34,8 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window of the class must reach.
-THRESHOLDS = {"hex": 3.0, "base64": 3.8}
-#: Candidates that are no secrets: placeholders, counting sequences, digests of nothing.
+THRESHOLDS = {"hex": 3.0, "base64": 3.8, "single": 3.3}
+#: Parts of candidates that are no secrets: placeholders, counting sequences, digests of nothing.
 ALLOWED = (
     r"(?i)example|placeholder|dummy|changeme|your[_-]?(api|secret|token|key)",
     r"(?i)x{8}|0123456789|abcdefghij",
@@ -71,8 +73,8 @@ def base_spans(text: Column) -> Column:
     return F.concat(*kinds)
 
 
-def _windows(value: Column, offset: Column) -> Column:
-    """Spans of a candidate's windows whose entropy reaches the threshold of their class."""
+def _windows(value: Column, offset: Column, spared: Column) -> Column:
+    """Spans of a candidate's windows whose entropy reaches the threshold of their class and that overlap none of the spared spans."""
     unit = 1_000_000
     # a count can stand at WINDOW + 1 between entering and leaving
     weight = F.array(*[F.lit(round(c * math.log2(c) * unit) if c else 0) for c in range(WINDOW + 2)])
@@ -81,7 +83,7 @@ def _windows(value: Column, offset: Column) -> Column:
     most = {k: math.floor(WINDOW * (math.log2(WINDOW) - t) * unit) for k, t in THRESHOLDS.items()}
     code = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     code = F.filter(code, lambda c: c >= 0)
-    is_in = {"digit": lambda c: c.between(52, 61), "upper": lambda c: c < 26, "lower": lambda c: c.between(26, 51), "other": lambda c: ~(c.between(52, 61) | c.between(26, 31))}
+    is_in = {"digit": lambda c: c.between(52, 61), "upper": lambda c: c < 26, "lower": lambda c: c.between(26, 51), "sign": lambda c: c > 61, "other": lambda c: ~(c.between(52, 61) | c.between(26, 31)), "capital": lambda c: ~(c.between(52, 61) | (c < 6))}
     one = lambda test, c: F.when(test(c), 1).otherwise(0)
     steps = F.transform(code, lambda c, i: F.struct(c.alias("c"), F.get(code, i - WINDOW).alias("o"), i.alias("i")))
 
@@ -97,11 +99,16 @@ def _windows(value: Column, offset: Column) -> Column:
         )
 
     def mark(acc: Column) -> Column:
-        is_hex = acc["other"] == 0
-        kind = F.when(is_hex & (acc["s"] <= most["hex"]) & (acc["digit"] > 0) & (acc["lower"] > 0), 3).when(
-            ~is_hex & (acc["s"] <= most["base64"]) & (acc["digit"] > 0) & (acc["lower"] > 0) & (acc["upper"] > 0), 4
+        letters, one_case = acc["lower"] + acc["upper"] > 0, (acc["lower"] == 0) | (acc["upper"] == 0)
+        is_hex = (acc["other"] == 0) | (acc["capital"] == 0)
+        kind = F.when(
+            acc["digit"] > 0,
+            F.when(is_hex, F.when(letters & (acc["s"] <= most["hex"]), 3))
+            .when(one_case, F.when(letters & (acc["sign"] == 0) & (acc["s"] <= most["single"]), 4))
+            .when(acc["s"] <= most["base64"], 4),
         )
-        kind = F.when(acc["i"] >= WINDOW - 1, kind)
+        free = ~F.exists(spared, lambda x: (x["start"] <= acc["i"]) & (x["end"] > acc["i"] - WINDOW + 1))
+        kind = F.when((acc["i"] >= WINDOW - 1) & free, kind)
         begin, stop = acc["i"] - WINDOW + 1, acc["i"] + 1
         grows = (kind == acc["kind"]) & (begin <= acc["end"])
         shut = F.when(acc["kind"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["start"], acc["end"], acc["kind"]))))
@@ -125,8 +132,11 @@ def _windows(value: Column, offset: Column) -> Column:
 
 def entropy_spans(text: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Spans of the entropy kinds, in order."""
-    suspect = F.filter(_located(text, CANDIDATE), lambda x: x["v"].rlike("[0-9]") & ~x["v"].rlike("|".join(f"(?:{p})" for p in allowed)))
-    return F.flatten(F.transform(suspect, lambda x: _windows(x["v"], x["start"])))
+    suspect = F.filter(_located(text, CANDIDATE), lambda x: x["v"].rlike("[0-9]"))
+    # located once a candidate, not once a window
+    known = lambda v: F.concat(F.array().cast("array<struct<start:int,end:int,v:string>>"), *[_located(v, p) for p in allowed])
+    suspect = F.transform(suspect, lambda x: F.struct(x["start"], x["v"], known(x["v"]).alias("spared")))
+    return F.flatten(F.transform(suspect, lambda x: _windows(x["v"], x["start"], x["spared"])))
 
 
 def scan(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
