@@ -245,7 +245,8 @@ def audit_class_overlap(spark, sf):
 
 def audit_keys_disjoint(spark, sf):
     split = _classes(spark, sf)
-    return audits.shared(split, "key").agg(F.count("*").alias("n_shared")).withColumn("n_repeats", F.lit(0).cast("long")).select("n_shared", "n_repeats")
+    shared = audits.shared(split, "key").agg(F.count("*").alias("n_shared"))
+    return shared.crossJoin(audits.repeats(split, "key").agg(F.count("*").alias("n_repeats")))
 
 
 def audit_jurisdiction(spark, sf):
