@@ -51,6 +51,8 @@ class WordEncoder:
     """Whole texts by way of their words; the library does the encoding."""
 
     _plain = re.compile("[a-zß-öø-ÿ]+")
+    #: U+0300 to U+036F; all marks that compose with an ASCII letter lie there.
+    _mark = re.compile(b"\xcc[\x80-\xbf]|\xcd[\x80-\xaf]")
 
     def __init__(self, path: str = TOKENIZER):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -92,7 +94,11 @@ class WordEncoder:
         return self.encode_bytes(text.encode())
 
     def encode_bytes(self, raw: bytes) -> bytes:
-        words = raw.lower().split()  # ASCII letters only
+        if self._mark.search(raw):
+            # a mark may compose with a capital and not with the small letter, so the library sees such words as they are
+            words = [w if self._mark.search(w) else w.lower() for w in raw.split()]
+        else:
+            words = raw.lower().split()  # ASCII letters only
         known = self.words
         try:
             return b"".join([known[w] for w in words])
