@@ -184,20 +184,21 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, claimed) for every row; only the text decides."""
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
+    """(id, lang_pred, score, claimed) for every row; only the text decides. Without a text column it is the field `text` of the id, so it is sent once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
-                texts = batch.column(1).slice(i, BATCH).to_pylist()
+                texts = (batch.column(1) if text_col else batch.column(0).field("text")).slice(i, BATCH).to_pylist()
                 langs, scores, claimed = own.score(texts) if own else (["und"] * len(texts), [0.0] * len(texts), [False] * len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, BATCH), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(claimed, pa.bool_())], names=["id", "lang_pred", "score", "claimed"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, claimed boolean")
+    texts = [F.col(text_col).cast("string").alias("text")] if text_col else []
+    return docs.select(F.col(id_col).alias("id"), *texts).mapInArrow(run, f"id {kind}, lang_pred string, score double, claimed boolean")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +208,6 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in no known language go (`und`, a score below LEAST_SCORE, or too few known n-grams)."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify(row, train(docs), id_col="row")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    found = identify(row, train(docs), id_col="row", text_col=None)
     return found.where("claimed").select("id.*").select(*docs.columns)
