@@ -8,7 +8,8 @@ holds a vantage fingerprint v and a cut c; a fingerprint at distance d from v go
 d > c - radius, so one within `radius` of the boundary goes to both. By the triangle inequality two fingerprints
 at most `radius` apart have distances from v that differ by at most `radius`, so they meet in some shard: no pair
 is lost, whatever the vantage points are. They only decide how even the shards are, so they may come from a
-bounded sample. Inside a shard the tree goes on down to small leaves, in which all pairs are compared.
+bounded sample, and a shard that is still too large is divided again by a tree of its own. Inside a shard the
+tree goes on down to small leaves, in which all pairs are compared, block by block.
 
 A shard returns, instead of its pairs, one row (fingerprint, smallest fingerprint connected in the shard): linear
 in the shard's size, with the same connectivity. These stars are merged by alternating large-star and small-star
@@ -28,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from cupola.llm.common import stored, table
 
@@ -36,6 +38,8 @@ SEED = 42
 SAMPLE = 20_000
 #: Fingerprints wanted in a shard; the tree stops dividing a sample below that share.
 SHARD = 4_000
+#: A shard of more points is divided again by a tree from about SUBSAMPLE of its own, at most DEPTH times; TREES such trees are sent to the tasks at once.
+LARGEST, SUBSAMPLE, DEPTH, TREES = 40_000, 8_192, 8, 4_000
 #: Points of a leaf inside a shard, in which all pairs are compared.
 LEAF = 384
 #: Vantage points tried at each node.
@@ -160,16 +164,78 @@ def linked(points: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """(u, v): every fingerprint of column fp that has a link, with the smallest one connected to it in a shard (unsigned order)."""
-    n = distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp", F.lit(SEED)), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    nodes = grow(sample, radius, max(64, int(len(sample) * min(1.0, SHARD / max(1, n)))))
+def shards(distinct: DataFrame, radius: int = 2, shard: int = SHARD, largest: int = LARGEST, sampled: int = SAMPLE, subsampled: int = SUBSAMPLE) -> DataFrame:
+    """(shard, fp): the distinct fingerprints of column fp, each in every shard that it belongs to.
+
+    A first tree comes from a sample that the driver holds. A shard of more than `largest` points gets a tree of its own,
+    grown in a task from a sample of that shard, and its points are dealt anew, until no shard is larger or none of the
+    larger ones can be divided. So shards stay bounded however many fingerprints there are; at most TREES trees are sent
+    to the tasks at once.
+    """
+    spark, n = distinct.sparkSession, distinct.count()
+    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp", F.lit(SEED)), "fp").limit(sampled).collect()], np.int64).view(np.uint64)
+    first = grow(sample, radius, max(64, int(len(sample) * min(1.0, shard / max(1, n)))))
+    whole = distinct.select(F.lit("").alias("shard"), "fp")
+    dealt = stored(_dealt(whole, {"": first}, radius), "shard")
+    done = None
+    for depth in range(1, DEPTH + 1):
+        large = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > largest)
+        large = stored(large, "large")
+        if not large.limit(1).count():
+            break
+        # of each large shard about `subsampled` points, by a hash; joined by shard, so no shard is gathered
+        h = F.pmod(F.xxhash64("fp", F.lit(SEED + depth)), F.lit(1 << 30))
+        chosen = dealt.join(large, "shard").where(h < F.lit(subsampled) / F.col("n") * (1 << 30)).select("shard", "n", "fp")
+        trees = stored(chosen.groupBy("shard").applyInArrow(lambda t: _tree(t, radius, shard), "shard string, nodes binary, divided boolean"), "trees")
+        settled = dealt.join(trees.where("divided").select("shard"), "shard", "left_anti")
+        done = settled if done is None else done.unionByName(settled)
+        number, parts = trees.where("divided").count(), []
+        if not number:
+            dealt = None
+            break
+        for k in range(-(-number // TREES)):
+            own = trees.where("divided").where(F.pmod(F.xxhash64("shard"), F.lit(-(-number // TREES))) == k)
+            grown = {r.shard: _nodes(r.nodes) for r in own.collect()}
+            parts.append(_dealt(dealt.where(F.pmod(F.xxhash64("shard"), F.lit(-(-number // TREES))) == k), grown, radius))
+        again = parts[0]
+        for x in parts[1:]:
+            again = again.unionByName(x)
+        dealt = stored(again, "shard")
+    return done if dealt is None else dealt if done is None else done.unionByName(dealt)
+
+
+_NODE = np.dtype([("vantage", "<u8"), ("cut", "<i4"), ("inside", "<i4"), ("outside", "<i4")])
+
+
+def _tree(group: pa.Table, radius: int, shard: int) -> pa.Table:
+    """The tree of one large shard from its sampled points."""
+    points, n = np.unique(group.column("fp").to_numpy().view(np.uint64)), group.column("n")[0].as_py()
+    nodes = grow(points, radius, max(64, int(len(points) * min(1.0, shard / n))))
+    packed = np.array([(v or 0, cut, i, o) if v is not None else (0, cut, -1, -1) for v, cut, i, o in nodes], _NODE)
+    return pa.table({"shard": group.column("shard")[:1], "nodes": pa.array([packed.tobytes()], pa.binary()), "divided": pa.array([len(nodes) > 1])})
+
+
+def _nodes(raw: bytes) -> list[tuple]:
+    return [(int(x["vantage"]), int(x["cut"]), int(x["inside"]), int(x["outside"])) if x["inside"] >= 0 else (None, int(x["cut"]), 0, 0) for x in np.frombuffer(raw, _NODE)]
+
+
+def _dealt(points: DataFrame, trees: dict[str, list[tuple]], radius: int) -> DataFrame:
+    """(shard, fp) of points (shard, fp) by the tree of their shard; points of a shard without a tree are left out. The new shard's name goes on from the old one's."""
+    shared = points.sparkSession.sparkContext.broadcast(trees)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, shard = deal(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), nodes, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(shard)], names=["fp", "shard"])
+            names, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for name in dict.fromkeys(names.tolist()):
+                if name in shared.value:
+                    found, shard = deal(fps[names == name], shared.value[name], radius)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}/{k}" for k in shard.tolist()], pa.string()), pa.array(found.view(np.int64))], names=["shard", "fp"])
+
+    return points.select("shard", "fp").mapInArrow(out, "shard string, fp long")
+
+
+def stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, v): every fingerprint of column fp that has a link, with the smallest one connected to it in a shard (unsigned order)."""
 
     def search(group: pa.Table) -> pa.Table:
         points = group.column("fp").to_numpy().view(np.uint64)
@@ -177,7 +243,7 @@ def stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
         keep = root != np.arange(len(points))
         return pa.table({"u": points[keep].view(np.int64), "v": points[root[keep]].view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(out, "fp long, shard int").groupBy("shard").applyInArrow(search, "u long, v long").distinct()
+    return shards(distinct, radius).groupBy("shard").applyInArrow(search, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
@@ -219,12 +285,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies the row with the smallest doc_id stays (rows without an id stay).
+    """Pipeline stage: of each component of near copies one row stays, the first by (doc_id, a hash of all its columns).
 
-    It has its own rule, five-word shingles and similarity 0.8; the radius of op10 binds its query only.
+    It has its own rule, five-word shingles and similarity 0.8; the radius of op10 binds its query only. Rows are
+    chosen, not ids: of rows that share an id and belong to different components each can stay, and of rows alike
+    in all columns one does. Rows without an id can't be told apart and stay. Null and texts without words are
+    copies of each other. The texts are moved once, by the join with the chosen rows.
     """
     from cupola.llm.resemblance import near_copies
 
-    found = near_copies(docs).where(F.col("component") == F.col("id")).select(F.col("id").alias("doc_id")).distinct()
-    named, loose = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return named.join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(loose)
+    # what tells rows apart, made from the row alone, so a task that runs again makes the same
+    told = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64(*told).alias("mark"))
+    found = near_copies(docs.select(row.alias("row"), "text").where("doc_id is not null"), id_col="row")
+    kept = found.where(F.col("component") == F.col("id")).select("id.*").distinct()
+    marked = docs.select(F.struct(*docs.columns).alias("row")).where("row.doc_id is not null").select(F.col("row.doc_id").alias("id"), F.xxhash64(*[F.col("row").getField(c) for c in told]).alias("mark"), "row")
+    # the join leaves rows dealt by (id, mark): equal rows meet without another shuffle
+    one = marked.join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

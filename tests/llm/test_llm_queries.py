@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from cupola.llm import bpe, decontaminate, langid, registry, rans, secrets, simhash, tokenfile
+from tests.llm.test_resemblance import plain_components
 from tests.oracle import same
 
 
@@ -120,10 +121,7 @@ def test_pipeline_against_plain_python(spark, sf, docs):
     """Near-dedup, decontamination, redaction and BPE repeated by brute force on what the language stage kept."""
     frame = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in langid.stage(spark, frame, sf).select("doc_id").collect()}
-    fps = {k: plain_fingerprint(docs[k].text) for k in kept}
-    root, least = brute_components(set(fps.values())), {}
-    for k, fp in fps.items():
-        least[root[fp]] = min(k, least.get(root[fp], k))
+    least = plain_components({k: docs[k].text or "" for k in kept})  # five words, similarity 0.8: the stage's rule
     windows = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         words = (r.text or "").encode().translate(decontaminate.LOWERED).split()
