@@ -159,6 +159,8 @@ class PrefixBpe:
                 if at == 0 or self.compatible(last[at], token):
                     last[end], start[end] = token, at
                     break
+            else:
+                raise ValueError("a byte has no token")
         out, end = [], len(piece)
         while end:
             out.append(last[end])
@@ -242,9 +244,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            ids = (bpe.encode(t) if t else np.zeros(0, "<u4") for t in batch.column(1).to_pylist())
-            rows = [(len(x), hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x)).hexdigest()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids = (bpe.encode(t) if t else np.zeros(0, "<u4") for t in part.column(1).to_pylist())
+                rows = [(len(x), hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x)).hexdigest()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

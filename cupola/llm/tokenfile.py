@@ -15,7 +15,9 @@ in order and knows the offsets in it; the ranges' totals, one row each, give the
 
 Texts are encoded by the tokenizers library. It is called for each distinct word, the words split at ASCII white
 space, at which its own pre-tokenizer always splits too; a word's ids are kept by the worker up to a fixed number.
-Words of plain small letters go straight to the library's model, others through its whole pipeline.
+Words of plain small letters go straight to the library's model, others through its whole pipeline. A word that may
+hold one of the tokenizer's added tokens goes through it as it is written. That is sound for tokenizer files of one
+kind only (see `word_wise`); with any other file whole texts go to the library.
 
 Null and empty texts have the end id only. Repeated rows and ids are kept, in the order of their texts; null ids
 come first.
@@ -23,6 +25,7 @@ come first.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +42,8 @@ from cupola.llm.common import range_bucket, shared_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+#: The split that the word-wise way knows to end at white space: a fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ids of a segment, but for one that a single longer document fills.
 SEGMENT = 1 << 21
 #: Words whose ids a worker keeps.
@@ -47,6 +52,20 @@ BLOCKS = "array<struct<states:binary,words:binary,crc:long,checkpoints:binary>>"
 SCHEMA = f"bucket int, place long, first long, doc_ids array<long>, sizes array<long>, scale int, symbols binary, freqs binary, blocks {BLOCKS}"
 
 
+def word_wise(made: dict) -> bool:
+    """Whether a tokenizer (its JSON) gives the ids of a text by those of its words between ASCII white space, in small letters: NFC, white space drawn together, lower case; a split that no word crosses; added tokens that hold no white space and take none."""
+    steps = (made.get("normalizer") or {}).get("normalizers") or []
+    kinds = [x["type"] for x in steps]
+    first, *rest = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and first.get("type") == "Split" and first["pattern"] == {"Regex": SPLIT} and first["behavior"] == "Removed" and first["invert"]
+        and [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in made["added_tokens"])
+    )
+
+
 class WordEncoder:
     """Whole texts by way of their words; the library does the encoding."""
 
@@ -58,8 +77,11 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = word_wise(made)
+        added = [t["content"].encode() for t in made["added_tokens"]]
+        self._added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         bytes_as = {}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         for c in (*range(0x61, 0x7B), *range(0xDF, 0x100)):
@@ -78,6 +100,8 @@ class WordEncoder:
     def _word(self, raw: bytes) -> bytes:
         """A new word. A letter followed by other ASCII is always a split, so a tail of these signs is encoded apart."""
         word = raw.decode()
+        if self._added and self._added.search(raw):
+            return self._ids(word)
         core = word.rstrip(".,;:!?")
         if core and core != word and core[-1].isalpha() and core[-1] <= "ÿ":
             ids = b""
@@ -94,9 +118,12 @@ class WordEncoder:
         return self.encode_bytes(text.encode())
 
     def encode_bytes(self, raw: bytes) -> bytes:
-        if self._mark.search(raw):
-            # a mark may compose with a capital and not with the small letter, so the library sees such words as they are
-            words = [w if self._mark.search(w) else w.lower() for w in raw.split()]
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if self._mark.search(raw) or (self._added and self._added.search(raw)):
+            # a mark may compose with a capital and not with the small letter, and an added token is matched as written,
+            # so the library sees such words as they are
+            words = [w if self._mark.search(w) or (self._added and self._added.search(w)) else w.lower() for w in raw.split()]
         else:
             words = raw.lower().split()  # ASCII letters only
         known = self.words

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -35,7 +36,7 @@ def test_all_ten_and_the_pipeline_are_registered():
 
 def test_op1_against_the_library(spark, sf, docs):
     got = {r.doc_id: r for r in registry.QUERIES["op1_tokens"](spark, sf).collect()}
-    lib, start = tokenfile.word_encoder().tokenizer, 0
+    lib, start = Tokenizer.from_file(tokenfile.TOKENIZER), 0
     assert set(got) == set(docs)
     for k in sorted(docs):
         ids = np.array([*lib.encode(docs[k].text or "", add_special_tokens=False).ids, 1], "<u4")
