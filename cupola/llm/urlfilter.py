@@ -9,7 +9,8 @@ SHA-256; the full digest then confirms.
 
 A popular host makes the same expression for every page, so expressions are made distinct, which combines before
 the shuffle, and joined to the rules once each; the confirmed ones then meet the pages in a join that adaptive
-execution splits. If the rules are counted to be few, each shape's rules are broadcast instead, by the same key.
+execution splits. If the rules are counted to be few, each shape's rules are broadcast instead; the join's key is
+the short prefix alone there too, and the digest confirms after it.
 
 A null URL or one without `://` has an empty host and path and gets the default verdict. Repeated page rows are
 kept, null ids too. Rules with a null host or path fit nothing; of equal rules, one counts, a block first.
@@ -44,42 +45,50 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\0"), path).cast("binary"), 256)
 
 
+def _short(digest: Column) -> Column:
+    """The first four bytes of a digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT) -> DataFrame:
-    """urls with host, path, rule and verdict (columns of these names in the input give way)."""
+    """urls with host, path, rule and verdict (columns of these names in the input give way; others keep theirs, whatever they are called)."""
     rules = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict")).alias("v")).select("host", "path", "v.verdict")
-    rules = rules.withColumns({"digest": _digest(F.col("host"), F.col("path")), "labels": F.size(F.split("host", "[.]")), "chars": F.length("path")})
-    shapes = [(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
+    rules = rules.select(
+        F.size(F.split("host", "[.]")).alias("labels"), F.length("path").alias("chars"), _digest(F.col("host"), F.col("path")).alias("full"),
+        F.struct(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b")).alias("rank"), F.concat("host", "path").alias("rule"), "verdict").alias("found"),
+    )
+    # rules that share a short prefix stand in one row, so a join on it never multiplies pages
+    ranked = rules.groupBy("labels", "chars", _short(F.col("full")).alias("short")).agg(F.collect_list(F.struct("full", "found")).alias("alike"))
+    ranked = stored(ranked, "rules")  # written once: each shape reads it
+    shapes = [(r.labels, r.chars) for r in ranked.select("labels", "chars").distinct().orderBy("labels", "chars").collect()]
     keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    pages = urls.withColumns({"_host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col))}).select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"))
-    none = pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    url = F.col(url_col)
+    # the input's columns travel inside one, so no name of theirs can clash
+    pages = urls.select(F.struct(*keep).alias("page"), host_of(url).alias("host"), path_of(url).alias("path"))
     if not shapes:
-        return none
+        return pages.select(*[F.col("page").getField(c).alias(c) for c in keep], "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", "[.]")
-    short = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
     made = []
     for n, chars in shapes:
         fits = (F.size(labels) >= n) & (F.length("path") >= chars)
         made.append(F.when(fits, _digest(F.substring_index("host", ".", -n), F.substring("path", 1, chars))))
-    ranked = rules.select(
-        "labels", "chars", F.col("digest").alias("full"), short(F.col("digest")).alias("short"),
-        F.struct(F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), (F.col("verdict") == "block").alias("b")).alias("rank"), F.concat("host", "path").alias("rule"), "verdict").alias("found"),
-    )
+    # what a short prefix found is a rule only if the full digest is the same
+    confirm = lambda alike, digest: F.get(F.filter(alike, lambda x: x["full"] == digest), F.lit(0))["found"]
     if len(shapes) <= FEW_SHAPES and rules.count() <= FEW:
         # few rules: one broadcast equi-join a shape, and no row of a page moves
+        pages = pages.withColumn("digests", F.array(*made))
         for k, (n, chars) in enumerate(shapes):
-            own = ranked.where((F.col("labels") == n) & (F.col("chars") == chars)).select(F.col("short").alias(f"_s{k}"), F.col("full").alias(f"_f{k}"), F.col("found").alias(f"_r{k}"))
-            pages = pages.withColumn(f"_d{k}", made[k]).withColumn(f"_p{k}", short(F.col(f"_d{k}")))
-            pages = pages.join(F.broadcast(own), (F.col(f"_p{k}") == F.col(f"_s{k}")) & (F.col(f"_d{k}") == F.col(f"_f{k}")), "left")
-        best = F.array_max(F.array(*[F.col(f"_r{k}") for k in range(len(shapes))]))
-        judged = pages.withColumn("_best", best)
+            own = ranked.where((F.col("labels") == n) & (F.col("chars") == chars)).select(F.col("short").alias(f"short{k}"), F.col("alike").alias(f"alike{k}"))
+            pages = pages.join(F.broadcast(own), _short(F.get("digests", F.lit(k))) == F.col(f"short{k}"), "left")
+        judged = pages.withColumn("best", F.array_max(F.array(*[confirm(F.col(f"alike{k}"), F.get("digests", F.lit(k))) for k in range(len(shapes))])))
     else:
-        pages = pages.withColumn("_row", F.monotonically_increasing_id()).withColumn("_all", F.filter(F.array(*made), lambda x: x.isNotNull()))
+        pages = pages.withColumn("number", F.monotonically_increasing_id()).withColumn("digests", F.filter(F.array(*made), lambda x: x.isNotNull()))
         pages = stored(pages, "urls")  # row numbers must hold if a task is run again
-        seen = pages.select(F.explode("_all").alias("digest")).distinct().withColumn("short", short(F.col("digest")))
-        confirmed = seen.join(ranked, "short").where("digest = full").select("digest", "found")
-        best = pages.select("_row", F.explode("_all").alias("digest")).join(confirmed, "digest").groupBy("_row").agg(F.max("found").alias("_best"))
-        judged = pages.join(best, "_row", "left")
-    return judged.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        seen = pages.select(F.explode("digests").alias("digest")).distinct().withColumn("short", _short(F.col("digest")))
+        confirmed = seen.join(ranked.select("short", "alike"), "short").select("digest", confirm(F.col("alike"), F.col("digest")).alias("found")).where("found is not null")
+        best = pages.select("number", F.explode("digests").alias("digest")).join(confirmed, "digest").groupBy("number").agg(F.max("found").alias("best"))
+        judged = pages.join(best, "number", "left")
+    return judged.select(*[F.col("page").getField(c).alias(c) for c in keep], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
