@@ -7,13 +7,16 @@ with neither the reference is unverified. The status is resolved, unverified, mi
 response). Of a resolved or unverified revisit, the response's headers are updated by those headers of the revisit
 that a 304 may carry; other headers of the revisit are dropped.
 
-A popular URL may hold a third of all captures, so no window ever takes a whole URL. Time is cut into slices whose
-limits are quantiles of ts over all captures. Inside (URL, slice) a window finds the last response so far; the last
-response of each (URL, slice) is a maximum that combines before the shuffle, and a second window over at most
-`SLICES` such rows a URL carries it on to the later slices. Bodies take no part: the result names the response.
+A popular URL may hold a third of all captures, so no window ever takes a whole URL. A URL of more captures than a
+slice is to hold is cut into time slices at its own quantiles of ts, the more the more captures it has. Inside
+(URL, slice) a window finds the last response so far; the last response of each (URL, slice) is a maximum that
+combines before the shuffle, and a second window over a URL's slices, MOST_SLICES at most, carries it on to the later
+ones. The narrow rows are written once and read by each of these steps. Bodies take no part: the result names the
+response.
 
 A null or empty URL has no canonical form and its revisits are orphans. A null ts comes before all others, a null
-record_id before others of its ts. Repeated rows are kept. Rows of another kind, or none, are left out.
+record_id before others of its ts; captures alike in both are ordered by kind (responses first), then by a hash of
+their validators, digest and headers. Repeated rows are kept. Rows of another kind, or none, are left out.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cupola.llm.common import range_bucket, table
+from cupola.llm.common import stored, table
 
-SLICES = 64
+#: A URL's slice holds at least this many captures, and an eighth of an even share of a task where that is more; a URL has at most MOST_SLICES.
+LEAST_SLICE, MOST_SLICES = 2_000, 1_024
+#: Slice limits that are broadcast.
+FEW = 1_000_000
 #: Headers that a 304 response updates: fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't tell pages apart: a fixed pattern.
@@ -52,16 +58,35 @@ def merged_headers(full: Column, revisit: Column, permitted: tuple[str, ...] = P
     return F.map_concat(F.map_filter(F.coalesce(full, none), lambda k, v: ~F.array_contains(names, F.lower(k))), new)
 
 
-def resolve(captures: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(record_id, canonical_url, status, refers_to, digest, headers) for every revisit row."""
+def _sliced(rows: DataFrame, slices: int | None) -> DataFrame:
+    """rows (key, ts, ...) with the slice of their key that they fall in; keys of few captures have one."""
+    counts = stored(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")), "urlcounts")
+    total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(LEAST_SLICE, (total.n or 0) // (8 * tasks))
+    n = slices or min(MOST_SLICES, -(-(total.most or 0) // size))
+    if n <= 1:
+        return rows.withColumn("slice", F.lit(0))
+    hot = counts.where(F.col("n") > (1 if slices else size)).select("key")
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    limits = rows.join(hot, "key").groupBy("key").agg(F.percentile_approx("ts", at, F.lit(max(1000, 4 * n))).alias("limits"))
+    limits = stored(limits, "urlslices")
+    # at most one row a hot key: total / size of them
+    few = limits.count() * n <= FEW
+    return rows.join(F.broadcast(limits) if few else limits, "key", "left").withColumn("slice", F.when(F.col("ts").isNull() | F.col("limits").isNull(), 0).otherwise(F.size(F.filter("limits", lambda x: x < F.col("ts"))))).drop("limits")
+
+
+def resolve(captures: DataFrame, slices: int | None = None) -> DataFrame:
+    """(record_id, canonical_url, status, refers_to, digest, headers) for every revisit row. slices: of every URL; None makes them from the counts."""
     rows = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical(F.col("url")).alias("key"), "ts", "kind", "etag", "last_modified", "digest", "headers")
-    slice_, _ = range_bucket(rows, "ts", slices)
-    rows = rows.withColumn("slice", slice_)
+    ordered = F.array_sort(F.map_entries("headers"))
+    rows = stored(rows.withColumn("mark", F.xxhash64("etag", "last_modified", "digest", ordered)), "captures")
+    rows = _sliced(rows, slices)
     known = rows.where("key is not null")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
-    inside = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("ts"), F.asc_nulls_first("record_id"), F.asc("kind"))
+    inside = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("ts"), F.asc_nulls_first("record_id"), F.asc("kind"), F.asc("mark"))
     near = known.withColumn("near", F.last(full, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 'revisit'")
-    place = F.struct(F.col("ts").isNotNull(), "ts", F.col("record_id").isNotNull(), "record_id")
+    place = F.struct(F.col("ts").isNotNull(), "ts", F.col("record_id").isNotNull(), "record_id", "mark")
     lasts = known.groupBy("key", "slice").agg(F.max_by(full, F.when(F.col("kind") == "response", place)).alias("own"))
     across = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     far = lasts.withColumn("far", F.last("own", ignorenulls=True).over(across)).where("far is not null").select("key", "slice", "far")
