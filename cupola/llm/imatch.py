@@ -35,6 +35,8 @@ WIDTH = 6
 NONE = "-" * WIDTH
 #: Rows whose terms a task gathers in memory before it sorts instead (on disk if need be).
 GATHERED = 1 << 14
+#: Key ranges a task: ranges are dealt by hash, so a few a task even out what tasks get.
+RANGES = 6
 #: Terms of a lexicon that is broadcast.
 FEW = 2_000_000
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -142,7 +144,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = stored(lexicon(docs), "lexicon")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    rows = with_next_text(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("edited", edited)
+    rows = with_next_text(docs, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("edited", edited)
     keyed = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
     prints = fingerprints(keyed, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["bucket", "rn", "doc_id", "n_chars"], "edited_sha256", lex)
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
