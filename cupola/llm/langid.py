@@ -3,16 +3,22 @@
 The kernel of two texts is the number of letter n-grams, n = 1 to 3, that occur in both (presence, not counts),
 over the root of the product of their own numbers. Nyström features take the kernel values to a bounded set of
 landmark texts through the inverse root of the landmarks' own kernel matrix; one ridge regression against the
-rest is solved per language. A batch of texts is scored by matrix products: presence x landmark grams, then
-kernel values x coefficients.
+rest is solved per language. A batch of texts is scored by matrix products: presence x landmark grams, a sparse
+product as a text has few of all grams, then kernel values x coefficients.
 
-Learning uses a bounded, documented sample: of each language the `per_lang` labelled documents that come first in
-a hash order of doc_id, of which `landmarks` in all are landmarks, dealt evenly to the languages. Scoring reads
-every whole text of every row.
+An n-gram is a 63-bit number, 21 bits a letter, so every letter of every script counts as itself.
+
+Learning uses a bounded, documented sample. A row's place is a hash of doc_id and text. Of each language those rows
+are candidates whose hash lies in the part of its range that holds 2 x per_lang rows of the language's count; of the
+distinct ones, in the order of the hash, the first `per_lang` with at most a fair share of LEARN_BYTES together are
+learned (a text longer than a quarter of that share isn't). With more than MOST_ROWS / per_lang languages each gets
+fewer rows, one at least. `landmarks` in all are landmarks, dealt evenly to the languages, one each at least.
+Scoring reads every whole text of every row.
 
 Null texts and texts without a letter get `und` with score 0; so does everything if there is nothing to learn
-from. A row with a null doc_id is not held out and not learned from. Repeated rows are kept. Scores are the
-winning regression value brought from [-1, 1] to [0, 1]; equal values go to the first language in order.
+from. A row with a null doc_id is not held out and not learned from. Repeated rows are kept, and learned once; of rows
+that share a doc_id each is learned as itself. Scores are the winning regression value brought from [-1, 1] to
+[0, 1]; equal values go to the first language in order.
 """
 
 from __future__ import annotations
@@ -29,110 +35,109 @@ from cupola.llm.common import table
 
 PER_LANG = 600
 LANDMARKS = 240
-#: Chosen documents whose ids are broadcast.
-FEW = 200_000
+#: Rows and bytes of text that are learned from at most.
+MOST_ROWS, LEARN_BYTES = 40_000, 64_000_000
 RIDGE = 1e-3
-#: Different letters that the kernel tells apart; rarer ones share a symbol.
-LETTERS = 126
-#: Texts of a batch product.
-BATCH = 256
+#: Texts of a batch product, and rows of the sparse product that stand in memory at once.
+BATCH, PIECE = 256, 32_768
 #: A pipeline stage rejects texts below this score: no language's regression claims them.
 LEAST_SCORE = 0.3
 #: It also rejects texts whose share of known n-grams is below KNOWN_SHARE of what KNOWN_QUANTILE of the learning rows that are no landmarks fall short of.
 KNOWN_QUANTILE, KNOWN_SHARE = 0.01, 0.9
 #: The least share where every learning row is a landmark.
 KNOWN_ELSE = 0.5
+#: Bits of a letter in an n-gram's number, and what stands for characters other than letters, which is none itself.
+BITS, BLANK = 21, 1
 
 
 class Grams:
-    """Distinct n-grams of texts over a fixed alphabet: 0 stands for what is no letter, 1 for letters outside it."""
+    """Distinct n-grams of texts."""
 
-    def __init__(self, alphabet: str):
-        self.alphabet = alphabet
-        self.size = len(alphabet) + 2
-        self.slot: np.ndarray | None = None
+    def __init__(self):
         self.symbols: np.ndarray | None = None
+        self.slot = np.zeros(0, np.int32)
 
     def __getstate__(self):
-        return {"alphabet": self.alphabet, "size": self.size, "slot": None, "symbols": None}
-
-    def _tables(self) -> None:
-        self.symbols = np.full(0x110000, 255, np.uint8)  # 255: not looked up yet
-        for i, c in enumerate(self.alphabet):
-            self.symbols[ord(c)] = i + 2
-        self.slot = np.zeros(self.size + self.size**2 + self.size**3, np.int32)
+        return {"symbols": None, "slot": np.zeros(0, np.int32)}
 
     def encode(self, text: str) -> np.ndarray:
-        """The text's symbols, with runs of other characters drawn into one and one at each end."""
+        """The text's letters by code point, with runs of other characters drawn into one BLANK and one at each end."""
         if self.symbols is None:
-            self._tables()
+            self.symbols = np.zeros(0x110000, np.uint32)  # 0: not looked up yet
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         s = self.symbols[points]
-        new = s == 255
-        if new.any():
-            for c in np.unique(points[new]).tolist():
-                self.symbols[c] = 1 if chr(c).isalpha() else 0
+        if not s.all():
+            for c in np.unique(points[s == 0]).tolist():
+                self.symbols[c] = c if chr(c).isalpha() else BLANK
             s = self.symbols[points]
-        s = np.concatenate(([0], s, [0])).astype(np.int32)
-        return s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
+        s = np.concatenate(([BLANK], s, [BLANK])).astype(np.int64)
+        return s[np.concatenate(([True], (s[1:] != BLANK) | (s[:-1] != BLANK)))]
 
     def distinct(self, text: str) -> np.ndarray | None:
-        """Codes of the distinct n-grams that hold a letter; None without letters."""
+        """Numbers of the distinct n-grams that hold a letter, in no order; None without letters."""
         s = self.encode(text)
-        if not s.any():
+        if (s == BLANK).all():
             return None
-        a = self.size
-        two = s[:-1] * a + s[1:]
-        three = two[:-1] * a + s[2:]
-        codes = np.concatenate((s[s > 0], a + two, a + a * a + three))
+        two = s[:-1] << BITS | s[1:]
+        return self._once(np.concatenate((s[s != BLANK], two, two[:-1] << BITS | s[2:])))
+
+    def _once(self, codes: np.ndarray) -> np.ndarray:
+        """Distinct values: of the codes of a slot the last written stays; the few others are sorted."""
+        bits = max(10, int(len(codes)).bit_length() + 1)
+        if len(self.slot) < 1 << bits:
+            self.slot = np.zeros(1 << bits, np.int32)
+        where = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
         at = np.arange(len(codes), dtype=np.int32)
-        self.slot[codes] = at  # of equal codes one position remains
-        return codes[self.slot[codes] == at]
+        self.slot[where] = at
+        held = self.slot[where]
+        same = codes[held] == codes
+        first = codes[held == at]
+        return first if same.all() else np.concatenate((first, np.unique(codes[~same])))
 
 
 class Model:
-    """Landmark grams, coefficients per landmark and language, languages in order."""
+    """Landmark grams, coefficients per landmark and language, languages in order. Its size is that of the landmarks' grams: a number and a bit for every landmark each."""
 
     def __init__(self, grams: Grams, landmarks: list[np.ndarray]):
         self.grams = grams
         self.known = np.unique(np.concatenate(landmarks))
-        self.rows: np.ndarray | None = None
-        self.presence = np.zeros((len(self.known), len(landmarks)), np.float32)
+        self.presence = np.zeros((len(self.known), -(-len(landmarks) // 8)), np.uint8)
         for i, x in enumerate(landmarks):
-            self.presence[np.searchsorted(self.known, x), i] = 1
-        self.norm = np.sqrt(np.array([len(x) for x in landmarks], np.float32))
+            self.presence[np.searchsorted(self.known, x), i // 8] |= np.uint8(1 << (i % 8))
+        self.norm = np.sqrt(np.array([len(x) for x in landmarks], np.float64))
         self.langs: list[str] = []
-        self.weights = np.zeros((len(landmarks), 0), np.float32)
+        self.weights = np.zeros((len(landmarks), 0))
         self.least_known = KNOWN_ELSE
 
-    def known_share(self, grams: np.ndarray) -> float:
-        """Share of a text's distinct grams that some landmark has. A text of no learned language shares few, whatever its regression."""
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        """Places of those grams that some landmark has."""
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        return float((self.known[at] == grams).mean())
-
-    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Kernel values of texts (their distinct grams) to the landmarks, by one matrix product."""
-        if self.rows is None:
-            g = self.grams.size
-            self.rows = np.full(g + g**2 + g**3, -1, np.int32)
-            self.rows[self.known] = np.arange(len(self.known), dtype=np.int32)
-        present = np.zeros((len(sets), len(self.known)), np.float32)
-        for i, x in enumerate(sets):
-            r = self.rows[x]
-            present[i, r[r >= 0]] = 1
-        return (present @ self.presence) / self.norm / np.sqrt([[len(x)] for x in sets]).astype(np.float32)
+        return at[self.known[at] == grams]
 
-    def fit(self, sets: list[np.ndarray], langs: list[str], ridge: float = RIDGE) -> None:
-        values, vectors = np.linalg.eigh(((self.presence.T @ self.presence) / self.norm / self.norm[:, None]).astype(np.float64))
+    def kernel(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values of texts (their distinct grams) to the landmarks, and the share of each text's grams that some landmark has."""
+        shared, known = np.zeros((len(sets), len(self.norm))), np.zeros(len(sets))
+        for i, x in enumerate(sets):
+            rows = self.rows(x)
+            known[i] = len(rows) / len(x)
+            for k in range(0, len(rows), PIECE):
+                # the sparse product: the rows of the text's grams are added up
+                bits = np.unpackbits(self.presence[rows[k : k + PIECE]], axis=1, count=len(self.norm), bitorder="little")
+                shared[i] += np.add.reduce(bits, axis=0, dtype=np.int32)
+        return shared / self.norm / np.sqrt([[len(x)] for x in sets]), known
+
+    def fit(self, sets: list[np.ndarray], langs: list[str], landmarks: list[np.ndarray], ridge: float = RIDGE) -> None:
+        own, _ = self.kernel(landmarks)
+        values, vectors = np.linalg.eigh((own + own.T) / 2)
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
-        features = np.concatenate([self.kernel(sets[i : i + BATCH]) for i in range(0, len(sets), BATCH)]).astype(np.float64) @ root
+        features = np.concatenate([self.kernel(sets[i : i + BATCH])[0] for i in range(0, len(sets), BATCH)]) @ root
         self.langs = sorted(set(langs))
         target = np.where(np.array(langs)[:, None] == np.array(self.langs), 1.0, -1.0)
         # each language counts alike, however many of its texts there are
         weight = np.array([1 / n for n in map(Counter(langs).__getitem__, langs)])[:, None]
         solved = np.linalg.solve(features.T @ (weight * features) + ridge * np.eye(features.shape[1]), features.T @ (weight * target))
-        self.weights = (root @ solved).astype(np.float32)
+        self.weights = root @ solved
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Languages, scores, and whether the text's grams are known enough for the language to claim it."""
@@ -140,11 +145,12 @@ class Model:
         sets = [self.grams.distinct(t) if t else None for t in texts]
         at = [i for i, x in enumerate(sets) if x is not None]
         for i in range(0, len(at), BATCH):
-            f = self.kernel([sets[j] for j in at[i : i + BATCH]]) @ self.weights
+            values, known = self.kernel([sets[j] for j in at[i : i + BATCH]])
+            f = values @ self.weights
             best = f.argmax(1)
-            for j, b, v in zip(at[i : i + BATCH], best.tolist(), f[np.arange(len(f)), best].tolist(), strict=True):
+            for j, b, v, share in zip(at[i : i + BATCH], best.tolist(), f[np.arange(len(f)), best].tolist(), known.tolist(), strict=True):
                 langs[j], scores[j] = self.langs[b], min(1.0, max(0.0, (v + 1) / 2))
-                claimed[j] = scores[j] >= LEAST_SCORE and self.known_share(sets[j]) >= self.least_known
+                claimed[j] = scores[j] >= LEAST_SCORE and share >= self.least_known
         return langs, scores, claimed
 
 
@@ -152,22 +158,33 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, most_bytes: int = LEARN_BYTES) -> list[tuple[str, str]]:
+    """(lang, text) of the learning rows, by language, then hash. At most most_rows rows (or one a language) of most_bytes come to the driver."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
+        return []
+    per_lang, share = max(1, min(per_lang, most_rows // langs)), most_bytes // langs
+    placed = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # the hash is even, so the first 2 x per_lang rows of a language lie in a known part of its range, and no task ranks more of them
+    part = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n"))
+    near = placed.join(F.broadcast(counts) if langs <= most_rows else counts, "lang").where((F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) < part) & (F.octet_length("text") <= share // 4))
+    near = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    kept = near.withColumns({"rn": F.row_number().over(order), "bytes": F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return [(r.lang, r.text) for r in sorted(kept.where((F.col("rn") <= per_lang) & (F.col("bytes") <= share)).collect(), key=lambda r: (r.lang, r.h))]
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
     """The model from the columns doc_id, text, lang. None if no row can be learned from."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # first within parts of each language, so a frequent one isn't ranked by one task
-    first = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(64)))
-    for by in (["lang", "part"], ["lang"]):
-        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= per_lang)
-    chosen = first.select("doc_id").distinct()
-    # per_lang ids a language: counted, then sent to the texts; the texts move only for a table of very many languages
-    chosen = F.broadcast(chosen) if chosen.count() <= FEW else chosen
-    rows = usable.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").toPandas().drop_duplicates("doc_id").sort_values(["lang", "doc_id"])
-    counts: Counter[str] = Counter()
-    for t in rows.text:
-        counts.update({c: n for c, n in Counter(t.lower()).items() if c.isalpha()})
-    grams = Grams("".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])))
-    sets = [(lang, x) for lang, t in zip(rows.lang, rows.text, strict=True) if (x := grams.distinct(t)) is not None]
+    return learn(sample(docs, per_lang), landmarks)
+
+
+def learn(rows: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model | None:
+    """The model from learning rows (lang, text)."""
+    grams = Grams()
+    sets = [(lang, x) for lang, t in rows if (x := grams.distinct(t)) is not None]
     if not sets:
         return None
     langs = sorted({lang for lang, _ in sets})
@@ -179,8 +196,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
         others += own[each:]
     model = Model(grams, marks)
     if others:
-        model.least_known = KNOWN_SHARE * float(np.quantile([model.known_share(x) for x in others], KNOWN_QUANTILE))
-    model.fit([x for _, x in sets], [lang for lang, _ in sets])
+        model.least_known = KNOWN_SHARE * float(np.quantile([len(model.rows(x)) / len(x) for x in others], KNOWN_QUANTILE))
+    model.fit([x for _, x in sets], [lang for lang, _ in sets], marks)
     return model
 
 
