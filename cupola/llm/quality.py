@@ -3,15 +3,16 @@
 The text view sees the whole text: measures of symbols, repetition, word and line shapes, and its words, hashed into a
 fixed number of places. The metadata view sees what is known without it: language, source, stated length; each value
 that LEAST_SEEN labelled rows have is a column of its own. Both are logistic regressions. They start from labelled
-documents. In every round each view scores all unlabelled documents, labels those that it is surest of, and hands them
-to the other view's training set; documents of equal features count once, so a group of copies can't fill the places,
+documents. In every round each view scores all documents outside the labelled sample, labels those that it is surest of, and hands
+them to the other view's training set; documents of equal features count once, so a group of copies can't fill the places,
 and those that the views label differently are handed to neither. Each view is calibrated (Platt) after every round on
 labelled documents that neither learned from; what it is sure of is judged by that, as a view that knows little would
 spoil the other. In the end the calibrated log-odds are added, the prior counted once.
 
 What is labelled is learned from a bounded sample: of the labelled rows the first `labelled` in a hash order of doc_id
-(then of features), of which every third calibrates. The unlabelled documents are all used. Every document is scored,
-from its whole text.
+(then of features), of which every third calibrates; documents with the features of one of them are no others. All
+other documents are looked at in every round, where they are, so nothing but a few hundred rows a task moves. Every
+document is scored, from its whole text.
 
 A null or empty text has measures of zero; a null language, source or length is a value of its own. Of several
 labels of one document the mean decides, ties count as low quality. If the learning or the calibrating rows lack a
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cupola.llm.common import stored, table
@@ -171,17 +172,17 @@ def _unpacked(text: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(text), "<f4").reshape(-1, TEXT_MEASURES + WORDS).astype(np.float64)
 
 
-def surest(pool: DataFrame, views: Views, taken: set[int], handed: int = HANDED) -> list:
-    """Rows (view, label, mark, text_view, meta_view): of each view and label the unlabelled documents that the view is surest of, those in `taken` left out; `handed` at most of a view, dealt to the labels by their shares.
+def surest(found: DataFrame, views: Views, taken: set[int], handed: int = HANDED) -> list:
+    """Rows (view, label, doubt, mark, text_view, meta_view): of each view and label the documents that the view is surest of, those whose mark is in `taken` left out and equal marks once; `handed` at most of a view, dealt to the labels by their shares.
 
-    A task keeps its own surest ones; the tasks' rows are then ranked once, a few hundred a task.
+    A task keeps its own surest ones; the tasks' rows, a few hundred each, are then ordered.
     """
-    shared, high = pool.sparkSession.sparkContext.broadcast((views, taken)), round(handed / (1 + np.exp(-views.prior)))
+    shared, high = found.sparkSession.sparkContext.broadcast((views, taken)), round(handed / (1 + np.exp(-views.prior)))
     most = (max(1, handed - high), max(1, high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views, taken = shared.value
-        best: dict[tuple[int, int], list] = {(v, k): [] for v in (0, 1) for k in (0, 1)}
+        best: dict[tuple[int, int], dict[int, tuple]] = {(v, k): {} for v in (0, 1) for k in (0, 1)}
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
@@ -189,14 +190,18 @@ def surest(pool: DataFrame, views: Views, taken: set[int], handed: int = HANDED)
                 for v, z in enumerate(views.logits(_unpacked(text), meta)):
                     for label in (0, 1):
                         sure, more = (z, z - views.prior) if label else (-z, views.prior - z)
-                        own = [(-sure[j], marks[j], text[j], meta[j]) for j in np.flatnonzero((sure > SURE) & (more > SURE)).tolist() if marks[j] not in taken]
-                        best[v, label] = sorted([*best[v, label], *own], key=lambda x: x[:2])[: most[label]]
-        rows = [{"view": v, "label": k, "doubt": float(d), "mark": m, "text_view": t, "meta_view": x} for (v, k), own in best.items() for d, m, t, x in own]
+                        own = {marks[j]: (-sure[j], marks[j], text[j], meta[j]) for j in np.flatnonzero((sure > SURE) & (more > SURE)).tolist() if marks[j] not in taken}
+                        best[v, label] = {x[1]: x for x in sorted((best[v, label] | own).values(), key=lambda x: x[:2])[: most[label]]}
+        rows = [{"view": v, "label": k, "doubt": float(d), "mark": m, "text_view": t, "meta_view": x} for (v, k), own in best.items() for d, m, t, x in own.values()]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("view", pa.int32()), ("label", pa.int32()), ("doubt", pa.float64()), ("mark", pa.int64()), ("text_view", pa.binary()), ("meta_view", pa.list_(pa.string()))]))
 
-    found = pool.select("mark", "text_view", "meta_view").mapInArrow(run, f"view int, label int, doubt double, mark long, {FEATURES}")
-    order = Window.partitionBy("view", "label").orderBy("doubt", "mark")
-    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.when(F.col("label") == 1, most[1]).otherwise(most[0])).orderBy("view", "label", "rn").collect()
+    near = stored(found.select("mark", "text_view", "meta_view").mapInArrow(run, f"view int, label int, doubt double, mark long, {FEATURES}"), "surest")
+    out = []
+    for v in (0, 1):
+        for label in (0, 1):
+            own = near.where((F.col("view") == v) & (F.col("label") == label)).groupBy("mark").agg(*[F.first(c).alias(c) for c in near.columns if c != "mark"])
+            out += own.orderBy("doubt", "mark").limit(most[label]).collect()
+    return out
 
 
 def train(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED) -> Views | None:
@@ -210,10 +215,9 @@ def train(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     if len(set(y.tolist())) < 2:
         return None
     views = Views(_unpacked([r.text_view for r in rows]), [r.meta_view for r in rows], y)
-    free = found.join(quality.select("doc_id"), "doc_id", "left_anti").groupBy("mark").agg(F.first("text_view").alias("text_view"), F.first("meta_view").alias("meta_view"))
-    free, taken = stored(free, "unlabelled"), set()
+    taken = {r.mark for r in rows}
     for _ in range(rounds):
-        given = surest(free, views, taken, handed)
+        given = surest(found, views, taken, handed)
         labels_of: dict[int, set[int]] = {}
         for r in given:
             labels_of.setdefault(r.mark, set()).add(r.label)

@@ -24,7 +24,7 @@ def plain_fit(x, y, ridge=1.0):
 def plain_cotraining(rows, good, handed, rounds):
     """rows: (doc_id, mark, text view, metadata values) in hash order; good: {doc_id: label}."""
     known = [r for r in rows if r[0] in good]
-    pool = {r[1]: r for r in rows if r[0] not in good}
+    pool = {r[1]: r for r in rows if r[1] not in {k[1] for k in known}}
     y = np.array([float(good[r[0]]) for r in known])
     seen = {}
     for r in known:
