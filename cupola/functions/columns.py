@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "unk"
-#: Fixed value: the token pattern of reaction strings, in order of precedence.
-TOKEN = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%\([0-9]{3}\)|\%[0-9]{2}|[0-9])"
+#: Fixed value: the token pattern of reaction strings (Schwaller et al. 2018, Chemical Science 9, 6091, with ring labels of three digits), in its own order.
+TOKEN = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|\%[0-9]{2}|\%\([0-9]{3}\)|[0-9])"
 MULTISET = "array<struct<smi:string,n:int>>"
 
 
@@ -36,7 +36,7 @@ def date_parts(c: Column) -> tuple[Column, Column, Column]:
     return (
         cast_int(F.when(n >= 4, F.substring(c, 1, 4))),
         cast_int(F.when(n >= 6, F.substring(c, 5, 2))),
-        cast_int(F.when(n > 6, F.substring(c, 7, 1000))),
+        cast_int(F.when(n > 6, F.substring(c, F.lit(7), n))),
     )
 
 
@@ -79,16 +79,19 @@ def reaction_key(reactants: Column, products: Column) -> Column:
     return F.concat(F.array_join(expand(reactants), "."), F.lit(">>"), F.array_join(expand(products), "."))
 
 
-def clean_reaction(text: Column, normal=lambda c: c) -> tuple[Column, Column]:
-    """(reactants, products) multisets of `reactants>reagents>products[ suffix]`; reagents join the reactants. NULL where the text isn't one.
-
-    `normal` brings one molecule to its normal form.
-    """
+def reaction_molecules(text: Column) -> tuple[Column, Column]:
+    """(reactants, products) molecules, as arrays, of `reactants>reagents>products[ suffix]`; reagents join the reactants. NULL where the text isn't one."""
     first = F.get(F.split(F.regexp_replace(text, r"^\s+", ""), r"\s+"), F.lit(0))
     parts = F.split(first, ">")
     good = (first != "") & (F.size(parts) == 3)
-    molecules = lambda i: F.transform(F.filter(F.split(F.get(parts, F.lit(i)), r"\."), lambda x: x != ""), normal)
-    return F.when(good, multiset(F.concat(molecules(0), molecules(1)))), F.when(good, multiset(molecules(2)))
+    molecules = lambda i: F.filter(F.split(F.get(parts, F.lit(i)), r"\."), lambda x: x != "")
+    return F.when(good, F.concat(molecules(0), molecules(1))), F.when(good, molecules(2))
+
+
+def clean_reaction(text: Column) -> tuple[Column, Column]:
+    """(reactants, products) as multisets of the molecules as they are written."""
+    left, right = reaction_molecules(text)
+    return multiset(left), multiset(right)
 
 
 def order_key(key: Column, seed: int, salt: str = "") -> Column:

@@ -2,16 +2,22 @@
 
 A molecule's token list is enough for its atoms, bonds and elements: a fragment of n atoms is a tree of n - 1
 bonds plus one bond for each ring closure, whose label stands twice. The normal form drops atom maps and isotopes
-and the brackets that then hold nothing else; it is a string form, equal for equal spelling, and no canonical
-ranking of atoms.
+and the brackets that then say no more than the bare symbol would; it is a string form, equal for equal spelling, and no
+canonical ranking of atoms. It needs each atom's bonds, so it is a small function of one molecule, run on Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from cupola.functions.columns import tokens
+from cupola.functions.columns import TOKEN, tokenizes, tokens
 
 #: Elements that need no bracket, aromatic ones included.
 PLAIN = "B|C|N|O|S|P|F|Cl|Br|I|b|c|n|o|s|p"
@@ -57,13 +63,104 @@ def strip_isotopes(smiles: Column) -> Column:
     return F.regexp_replace(smiles, r"\[\d+([A-Za-z*])", "[$1")
 
 
-def unbracket(smiles: Column) -> Column:
-    """Brackets around a plain element with its default hydrogens in an aromatic or saturated place, such as [cH] or [CH3] or [Cl], go."""
-    return F.regexp_replace(smiles, r"\[(Cl|Br|[BCNOSPFIbcosp])(?:H\d?)?\]", "$1")
-
-
-def normal_form(smiles: Column) -> Column:
-    return unbracket(strip_isotopes(strip_maps(smiles)))
+#: The valences of elements that need no bracket, and the orders of bond signs.
+VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
+ORDERS = {"-": 1, "/": 1, "\\": 1, "=": 2, "#": 3, "$": 4, ":": 1, "~": 1}
+_TOKEN = re.compile(TOKEN)
+_BARE = re.compile(r"\[(Cl|Br|[BCNOSPFIbcnosp])(?:H(\d?))?\]")
+
+
+def plain_brackets(smiles: str) -> str:
+    """Brackets that hold an element and hydrogens only go where those hydrogens are what the element has there without a bracket; radicals and the like keep theirs."""
+    tokens = _TOKEN.findall(smiles)
+    if "".join(tokens) != smiles or not _BARE.search(smiles):
+        return smiles
+    bonds, open_rings, branches, last, order = [0] * len(tokens), {}, [], None, None
+    for i, t in enumerate(tokens):
+        if t in ORDERS:
+            order = ORDERS[t]
+        elif t == "(":
+            branches.append(last)
+        elif t == ")":
+            last = branches.pop() if branches else None
+        elif t == ".":
+            last = None
+        elif t[0] == "%" or t.isdigit():
+            other = open_rings.pop(t, None)
+            if other is None:
+                open_rings[t] = (last, order)
+            elif last is not None and other[0] is not None:
+                n = order or other[1] or 1
+                bonds[last] += n
+                bonds[other[0]] += n
+            order = None
+        elif t[0] == "[" or t in VALENCES or t.upper() in VALENCES or t == "*":
+            if last is not None:
+                bonds[last] += order or 1
+                bonds[i] += order or 1
+            last, order = i, None
+    for i, t in enumerate(tokens):
+        if m := _BARE.fullmatch(t):
+            symbol, hydrogens = m[1], 0 if "H" not in t else int(m[2] or 1)
+            used = bonds[i] + symbol.islower()  # an aromatic atom gives one more to its ring
+            free = [v - used for v in VALENCES[symbol.capitalize()] if v >= used][:1] if symbol[0].isupper() else [max(0, VALENCES[symbol.upper()][0] - used)]
+            if hydrogens == (free[0] if free else 0):
+                tokens[i] = symbol
+    return "".join(tokens)
+
+
+def _stripped(smiles: str) -> str:
+    return re.sub(r"\[\d+([A-Za-z*])", r"[\1", re.sub(r":\d+\]", "]", smiles))
+
+
+@F.pandas_udf(StringType())
+def normal_form(smiles: pd.Series) -> pd.Series:
+    """The normal form of a molecule: no maps, no isotopes, no needless brackets."""
+    return smiles.map(lambda x: plain_brackets(_stripped(x)), na_action="ignore")
+
+
+def with_normal_forms(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows with the arrays of molecules of the named columns brought to their normal forms, each molecule once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, str] = {}
+            made = []
+            for k in range(len(names)):
+                column = batch.column(1 + k)
+                for x in set(column.flatten().to_pylist()) - known.keys():
+                    known[x] = plain_brackets(_stripped(x))
+                made.append(pa.array([None if xs is None else [known[x] for x in xs] for xs in column.to_pylist()], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", *names])
+
+    kept = [c for c in rows.columns if c not in names]
+    row = rows.select(F.struct(*kept).alias("row"), *names)
+    kinds = ", ".join(f"{n} array<string>" for n in names)
+    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, {kinds}").select(*[F.col("row").getField(c).alias(c) for c in kept], *names)
+
+
+#: The element symbols that a bracket can hold, aromatic ones last.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho "
+    "Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og b c n o p s se as te si"
+)
+BRACKET = r"^\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*)(@[A-Z0-9@]*)?(H[0-9]*)?([+]+[0-9]*|-+[0-9]*)?(:[0-9]+)?\]$"
+
+
+def readable(smiles: Column) -> Column:
+    """Whether a text has the structure of a molecule: it is all tokens; bracket atoms are well formed, of known elements; branches are balanced and begin after an atom; ring labels are in pairs; bonds join something. Valences and aromaticity aren't judged. NULL and empty texts are not readable."""
+    kind = (
+        lambda t: F.when(t.startswith("["), F.when(t.rlike(BRACKET) & F.array_contains(F.split(F.lit(ELEMENTS + " *"), " "), element(t)), "a").otherwise("x"))
+        .when(t.rlike(rf"^({PLAIN}|\*)$"), "a").when(t.rlike("^[0-9%]"), "r").when(t.isin(*ORDERS), "b").when(t == "(", "o").when(t == ")", "c").when(t == ".", "d").otherwise("x")
+    )
+    found = tokens(smiles)
+    shape = F.array_join(F.transform(found, kind), "")
+    # an atom first; an atom, ring label or closed branch last; nothing that hangs on nothing in between
+    sound = shape.rlike("^a([abdrco]*[arc])?$") & ~shape.rlike("bb|oc|oo|or|od|bo|bc|bd|dd|do|db|dr|dc")
+    depth = F.aggregate(found, F.struct(F.lit(0).alias("now"), F.lit(True).alias("good")), lambda a, t: F.struct((a["now"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("now"), (a["good"] & ~((t == ")") & (a["now"] == 0))).alias("good")), lambda a: a["good"] & (a["now"] == 0))
+    rings = F.filter(found, lambda t: t.rlike("^[0-9%]"))
+    paired = F.forall(F.array_distinct(rings), lambda r: F.size(F.filter(rings, lambda t: t == r)) % 2 == 0)
+    return F.coalesce(tokenizes(smiles) & sound & depth & paired, F.lit(False))
 
 
 def neutral_form(smiles: Column) -> Column:
@@ -79,8 +176,8 @@ def neutral_form(smiles: Column) -> Column:
 
 
 def fingerprint(smiles: Column, bits: int = BITS, run: int = RUN) -> Column:
-    """A bit vector (array of float 0 or 1) with a bit for every run of up to `run` tokens."""
-    t = tokens(normal_form(smiles))
+    """A bit vector (array of float 0 or 1) with a bit for every run of up to `run` tokens of a molecule in its normal form."""
+    t = tokens(smiles)
     runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), "")) if k == 1 else F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), ""))).otherwise(F.array().cast("array<string>")) for k in range(1, run + 1)]))  # noqa: B023
     places = F.array_distinct(F.transform(runs, lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(bits)).cast("int")))
     return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.array_contains(places, i).cast("float"))

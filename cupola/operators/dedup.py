@@ -4,6 +4,12 @@ Arrivals are folded in ingest order. The newcomer displaces the survivor if it h
 else if the survivor's year is unknown; else if its own year is known and smaller. The rule is not associative, so
 arrivals are folded one after another; only (order, has a name, year) takes part, and the payload is joined back.
 
+A key may hold a third of all arrivals, so no key is folded in one place. Its arrivals are cut into slices of the
+order. What a slice makes of any survivor that comes into it is known from few of its arrivals: its first, its first
+with a name, and those whose year is below all before them. The first of these that displaces the incoming survivor is
+where the slice's own fold begins, so each carries the survivor that the slice ends with from there. A key's slices are
+then folded one after another; their summaries hold a year at most once.
+
 A key with very many arrivals shrinks first (`shrunk`): in a run of arrivals that are alike in (has a name, year),
 those after the first change nothing if the year is known; if it is unknown, the last one wins.
 """
@@ -18,13 +24,32 @@ def displaces(cur: Column, new: Column) -> Column:
     return F.when(new["named"] & ~cur["named"], True).when(cur["year"].isNull(), True).when(new["year"].isNotNull() & (new["year"] < cur["year"]), True).otherwise(False)
 
 
-def survivors(df: DataFrame, key: str, order: str, name: str, year: str) -> DataFrame:
-    """One row of df per key: the fold's survivor. `order` must be unique."""
-    events = df.select(key, F.struct(F.col(order).alias("ord"), F.col(name).isNotNull().alias("named"), F.col(year).alias("year")).alias("e"))
-    folded = events.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    last = F.aggregate(F.slice(F.col("es"), 2, F.greatest(F.size("es") - 1, F.lit(1))), F.get("es", F.lit(0)), lambda cur, new: F.when(displaces(cur, new), new).otherwise(cur))
-    chosen = folded.select(last["ord"].alias(order))
-    return df.join(chosen, order, "left_semi")
+def _fold(cur: Column, events: Column) -> Column:
+    return F.aggregate(events, cur, lambda cur, new: F.when(displaces(cur, new), new).otherwise(cur))
+
+
+def survivors(df: DataFrame, key: str, order: str, name: str, year: str, span: int = 100_000) -> DataFrame:
+    """One row of df per key: the fold's survivor. `order` must be unique. A slice holds `span` of the order."""
+    event = F.struct(F.col(order).alias("ord"), F.col(name).isNotNull().alias("named"), F.col(year).alias("year"))
+    slices = df.select(key, F.floor(F.col(order) / span).alias("slice"), event.alias("e")).groupBy(key, "slice").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    kind = df.select(event.alias("e")).schema["e"].dataType.simpleString()
+    # places of the arrivals that may be the first to displace a survivor from before the slice
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("named"), F.lit(None).cast(df.schema[year].dataType).alias("low"), F.array().cast("array<int>").alias("at"))
+
+    def look(acc: Column, e: Column) -> Column:
+        below = e["year"].isNotNull() & (acc["low"].isNull() | (e["year"] < acc["low"]))
+        opens = (acc["i"] == 0) | (e["named"] & ~acc["named"]) | below
+        return F.struct((acc["i"] + 1).alias("i"), (acc["named"] | e["named"]).alias("named"), F.when(below, e["year"]).otherwise(acc["low"]).alias("low"), F.when(opens, F.concat(acc["at"], F.array(acc["i"]))).otherwise(acc["at"]).alias("at"))
+
+    at = F.aggregate("es", start, look, lambda acc: acc["at"])
+    ends = F.transform(at, lambda i: F.struct(F.get("es", i).alias("e"), _fold(F.get("es", i), F.slice("es", i + 2, F.size("es"))).alias("last")))
+    summed = slices.select(key, "slice", ends.alias("ends")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("slice", "ends"))).alias("s"))
+
+    def enter(cur: Column, x: Column) -> Column:
+        return F.coalesce(F.get(F.filter(x["ends"], lambda c: cur.isNull() | displaces(cur, c["e"])), F.lit(0))["last"], cur)
+
+    last = F.aggregate("s", F.lit(None).cast(kind), enter)
+    return df.join(summed.select(last["ord"].alias(order)), order, "left_semi")
 
 
 def shrunk(df: DataFrame, key: str, order: str, name: str, year: str, span: int = 100_000) -> DataFrame:

@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cupola.functions import columns as C
-from cupola.functions.molecules import normal_form
+from cupola.functions.molecules import readable, with_normal_forms
 from cupola.operators import audits, checks, dedup, splits
 from cupola.plans.configs import BespokeParams, ClassSpec, SplitParams, TimeParams
 from cupola.sources import export, raw
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """Flat rows with reactants, products and key; all NULL where the text is no reaction."""
-    reactants, products = C.clean_reaction(F.col("smiles"), normal_form)
-    return rows.withColumns({"reactants": reactants, "products": products}).withColumn("key", C.reaction_key(F.col("reactants"), F.col("products")))
+    """Flat rows with reactants, products and key; all NULL where the text is no reaction, or one of its molecules isn't readable."""
+    left, right = C.reaction_molecules(F.col("smiles"))
+    read = F.forall(F.concat(left, right), readable)
+    sided = with_normal_forms(rows.withColumns({"_left": F.when(read, left), "_right": F.when(read, right)}), ("_left", "_right"))
+    sided = sided.withColumns({"reactants": C.multiset(F.col("_left")), "products": C.multiset(F.col("_right"))}).drop("_left", "_right")
+    return sided.withColumn("key", C.reaction_key(F.col("reactants"), F.col("products")))
 
 
 def clean(spark: SparkSession, roots: str | list[str], out: str, strict: bool = True) -> dict[str, int]:
