@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cupola.functions.columns import order_key
+from cupola.functions.columns import author_name, order_key
 from cupola.operators.ordering import ranked, running
 
 
@@ -114,6 +114,14 @@ def split_documents(rows: DataFrame, key: str, doc: str, spec: list[list[tuple[s
     return assign(titled, doc, key, docs, limits, sets, seed)
 
 
+def unknown_counts(rows: DataFrame, title: str = "title", doc: str = "doc", authors: str = "authors") -> DataFrame:
+    """One row: rows, those of unknown title, those without authors, distinct documents, distinct authors (in small letters, trimmed)."""
+    one = rows.agg(F.count("*").alias("n_rows"), F.sum(F.col(title).isNull().cast("long")).alias("unknown_titles"), F.sum((F.coalesce(F.size(authors), F.lit(0)) <= 0).cast("long")).alias("unknown_authors"))
+    docs = rows.select(doc).where(F.col(doc).isNotNull()).distinct().agg(F.count("*").alias("n_docs"))
+    names = rows.select(F.explode(F.transform(authors, author_name)).alias("author")).distinct().agg(F.count("author").alias("n_authors"))
+    return one.crossJoin(docs).crossJoin(names)  # one row each
+
+
 def split_meta(rows: DataFrame, doc: str, spec: list[list[tuple[str, int]]], seed: int) -> DataFrame:
     """One row a level: target, rows used, documents used so far, documents in all."""
     levels = levels_of(spec)

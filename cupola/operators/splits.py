@@ -127,8 +127,36 @@ def year_sizes(rows: DataFrame, test_amount: int, valid_proportion: float) -> Da
     return sized.withColumn("valid", F.col("n") - F.col("test") - F.col("train"))
 
 
-def split_years(rows: DataFrame, test_amount: int, valid_proportion: float, seed: int, by_document: bool = True) -> DataFrame:
-    """rows with split test, valid or train, every year split by itself in one pass."""
+#: Rows by which a year's level may fall short of its target.
+YEAR_LEEWAY = 750
+
+
+def _year_levels(rows: DataFrame, test_amount: int, valid_proportion: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows of known year and title, documents in order, limits, sets) of a split by year and document."""
+    sizes = year_sizes(rows, test_amount, valid_proportion)
+    titled = rows.where("year is not null and year >= 1900").withColumn("doc", core_title(F.col("title"))).where("doc is not null")
+    # levels in the order test (where there is one), valid, train
+    order = F.array(F.struct(F.lit("test").alias("split"), F.col("test").alias("size")), F.struct(F.lit("valid").alias("split"), F.col("valid").alias("size")), F.struct(F.lit("train").alias("split"), F.col("train").alias("size")))
+    kept = F.filter(order, lambda x: (x["split"] != "test") | (x["size"] > 0))
+    sets = sizes.select("year", F.posexplode(kept).alias("level", "s")).select("year", "level", "s.split", F.lit(0).cast("long").alias("start"), "s.size")
+    docs = document_order(titled, "doc", seed, ("year",))
+    return titled, docs, fill(docs, sets.select("year", "level", F.col("size").alias("target")), ("year",)), sets
+
+
+def year_shortfalls(rows: DataFrame, test_amount: int, valid_proportion: float, seed: int) -> DataFrame:
+    """(year, split, target, n_rows, short): what each year's sets are to hold, hold, and lack. A year without known titles has nothing to take."""
+    _, docs, limits, sets = _year_levels(rows, test_amount, valid_proportion, seed)
+    taken = sets.join(limits.select("year", "level", F.least("target", F.col("end") - F.col("base")).alias("n_rows")), ["year", "level"], "left")
+    out = taken.select("year", "split", F.col("size").alias("target"), F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+    return out.withColumn("short", F.col("target") - F.col("n_rows"))
+
+
+def split_years(rows: DataFrame, test_amount: int, valid_proportion: float, seed: int, by_document: bool = True, leeway: int | None = YEAR_LEEWAY) -> DataFrame:
+    """rows with split test, valid or train, every year split by itself in one pass.
+
+    By document, a document that overflows a set is cut and its rest belongs to none, so a later set can fall short.
+    Raises QuotaError, before any row is assigned, if one does by more than the leeway (None: never).
+    """
     if not 0 <= valid_proportion <= 1:
         raise ValueError("valid_proportion must be from 0 to 1")
     sizes = year_sizes(rows, test_amount, valid_proportion)
@@ -137,13 +165,12 @@ def split_years(rows: DataFrame, test_amount: int, valid_proportion: float, seed
         ordered = ranked(usable.withColumn("_h", order_key(F.col("key"), seed)), "_h", "key", "_rn", ("year",)).join(F.broadcast(sizes), "year")
         split = F.when(F.col("_rn") <= F.col("train"), "train").when(F.col("_rn") <= F.col("train") + F.col("valid"), "valid").otherwise("test")
         return ordered.withColumn("split", split).select(*usable.columns, "split")
-    # levels in the order test (where there is one), valid, train
-    order = F.array(F.struct(F.lit("test").alias("split"), F.col("test").alias("size")), F.struct(F.lit("valid").alias("split"), F.col("valid").alias("size")), F.struct(F.lit("train").alias("split"), F.col("train").alias("size")))
-    kept = F.filter(order, lambda x: (x["split"] != "test") | (x["size"] > 0))
-    sets = sizes.select("year", F.posexplode(kept).alias("level", "s")).select("year", "level", "s.split", F.lit(0).cast("long").alias("start"), "s.size")
-    titled = usable.where("doc is not null")
-    docs = document_order(titled, "doc", seed, ("year",))
-    limits = fill(docs, sets.select("year", "level", F.col("size").alias("target")), ("year",))
+    titled, docs, limits, sets = _year_levels(rows, test_amount, valid_proportion, seed)
+    if leeway is not None:
+        lack = F.col("target") - F.least("target", F.col("end") - F.col("base"))
+        worst = limits.select("year", "level", lack.alias("lack")).orderBy(F.desc("lack"), "year").first()
+        if worst and worst.lack > leeway:
+            raise QuotaError(f"a set of year {worst.year} falls short by {worst.lack} rows, the leeway is {leeway}")
     return assign(titled, "doc", "key", docs, limits, sets, seed, ("year",)).drop("level")
 
 
@@ -163,9 +190,22 @@ def controlled_size(split: DataFrame, cutoffs: list[int], most: int, control: bo
 def cutoff_sets(split: DataFrame, cutoffs: list[int], most_train: int, most_valid: int, seed: int) -> DataFrame:
     """(cutoff, split, ...rows): training and validation rows of all years up to each cutoff, mixed, the first of a seeded order."""
     marks = split.sparkSession.createDataFrame([(int(c), s, m) for c in cutoffs for s, m in (("train", most_train), ("valid", most_valid))], "cutoff int, _split string, _most long")
-    wide = split.join(F.broadcast(marks), (F.col("year") <= F.col("cutoff")) & (F.col("split") == F.col("_split")))
+    # rows of each year and set, one row each: what a cutoff has to choose from
+    sizes = split.groupBy("year", "split").agg(F.count("*").alias("_c")).join(F.broadcast(marks), (F.col("year") <= F.col("cutoff")) & (F.col("split") == F.col("_split")))
+    sizes = sizes.groupBy("cutoff", "_split", "_most").agg(F.sum("_c").alias("_n")).collect()
+    # the order is an even hash, so the first `most` of n lie below a share of its range that holds a little more than that;
+    # what lies above needs no rank. Six deviations more are wanted; a share that still holds too few is counted and undone
+    share = {(r.cutoff, r["_split"]): min(1.0, (r["_most"] + 6 * (r["_most"] + 9) ** 0.5) / r["_n"]) for r in sizes}
     order = F.md5(F.concat("key", F.lit(f":{seed}:"), F.col("cutoff").cast("string")).cast("binary"))
-    return ranked(wide.withColumn("_h", order), "_h", "key", "_rn", ("cutoff", "split")).where("_rn <= _most").select("cutoff", *split.columns)
+
+    def near(share: dict) -> DataFrame:
+        limits = split.sparkSession.createDataFrame([(int(c), s, int(m), "g" if share.get((c, s), 1.0) >= 1 else format(int(share[c, s] * 16**12), "012x")) for c in cutoffs for s, m in (("train", most_train), ("valid", most_valid))], "cutoff int, _split string, _most long, _below string")
+        wide = split.join(F.broadcast(limits), (F.col("year") <= F.col("cutoff")) & (F.col("split") == F.col("_split")))
+        return wide.withColumn("_h", order).where(F.substring("_h", 1, 12) < F.col("_below"))
+
+    held = {(r.cutoff, r.split): r["count"] for r in near(share).groupBy("cutoff", "split").count().collect()} if any(x < 1 for x in share.values()) else {}
+    share = {k: 1.0 if x < 1 and held.get(k, 0) < next(r["_most"] for r in sizes if (r.cutoff, r["_split"]) == k) else x for k, x in share.items()}
+    return ranked(near(share), "_h", "key", "_rn", ("cutoff", "split")).where("_rn <= _most").select("cutoff", *split.columns)
 
 
 # --- bespoke ----------------------------------------------------------------------------------------------------

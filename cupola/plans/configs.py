@@ -49,6 +49,7 @@ class TimeParams(_FromJson):
     document_split: bool = True
     control_for_training_size: bool = False
     valid_proportion: float = 0.05
+    leeway: int = 750
     other_args: dict = field(default_factory=dict)
 
     def __post_init__(self):

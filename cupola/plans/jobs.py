@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import sys
 from collections.abc import Callable
 from dataclasses import asdict
 
@@ -11,9 +13,22 @@ from pyspark.sql import functions as F
 from cupola.functions import columns as C
 from cupola.functions.molecules import readable, with_normal_forms
 from cupola.operators import audits, checks, dedup, splits
-from cupola.plans.configs import BespokeParams, ClassSpec, SplitParams, TimeParams
+from cupola.plans.configs import BespokeParams, ClassSpec, SplitParams, TimeParams, class_specs
 from cupola.sources import export, raw
 
+LOG = logging.getLogger("cupola")
+
+
+def log_to(path: str) -> None:
+    """Sends counts and warnings of the jobs, and Python's warnings, to standard output and a file of the driver."""
+    logging.captureWarnings(True)
+    for name in ("cupola", "py.warnings"):
+        log = logging.getLogger(name)
+        log.setLevel(logging.INFO)
+        for handler in (logging.StreamHandler(sys.stdout), logging.FileHandler(path)):
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+            log.addHandler(handler)
+
 
 def canonical(rows: DataFrame) -> DataFrame:
     """Flat rows with reactants, products and key; all NULL where the text is no reaction, or one of its molecules isn't readable."""
@@ -24,8 +39,10 @@ def canonical(rows: DataFrame) -> DataFrame:
     return sided.withColumn("key", C.reaction_key(F.col("reactants"), F.col("products")))
 
 
-def clean(spark: SparkSession, roots: str | list[str], out: str, strict: bool = True) -> dict[str, int]:
-    """Raw files to `out/clean`, with `out/failures` (raw text and first failing check), `out/unreadable` and `out/provenance` beside it. Returns the counts."""
+def clean(spark: SparkSession, roots: str | list[str], out: str, strict: bool = True, subfolders: str | list[str] | None = None) -> dict[str, int]:
+    """Raw files (below a root's named extract subfolders, if given) to `out/clean`, with `out/failures` (raw text and first failing check), `out/unreadable` and `out/provenance` beside it. Returns the counts."""
+    if subfolders is not None:
+        roots = [p for r in ([roots] if isinstance(roots, str) else roots) for p in raw.subfolder_paths(r, subfolders)]
     rows = canonical(raw.flatten(raw.ordered(raw.read_raw(spark, roots, strict))))
     checked = rows.withColumn("first_failure", F.when(F.col("key").isNotNull(), checks.first_failure(checks.registry(F.col("reactants"), F.col("products")))))
     checked.write.mode("errorifexists").parquet(f"{out}/staged")  # read again by every step below
@@ -39,7 +56,9 @@ def clean(spark: SparkSession, roots: str | list[str], out: str, strict: bool =
     hashed = good.withColumn("_k", F.sha2(F.col("key").cast("binary"), 256))
     dedup.survivors(hashed, "_k", "ingest_ord", "name_rxn", "year").drop("_k").write.parquet(f"{out}/clean")
     count = lambda df: df.count()
-    return {"rows": count(staged), "unreadable": count(staged.where("key is null")), "failed": count(staged.where("first_failure is not null")), "kept": count(spark.read.parquet(f"{out}/clean")), "arrivals": count(good)}
+    found = {"rows": count(staged), "unreadable": count(staged.where("key is null")), "failed": count(staged.where("first_failure is not null")), "kept": count(spark.read.parquet(f"{out}/clean")), "arrivals": count(good)}
+    LOG.info("%s: %s", out, found)
+    return found
 
 
 def _publish(spark: SparkSession, split: DataFrame, out: str, params: dict, seed: int, by: tuple[str, ...] = ("split",), meta: dict | None = None) -> dict:
@@ -47,15 +66,37 @@ def _publish(spark: SparkSession, split: DataFrame, out: str, params: dict, seed
     table = f"{out}/assigned"
     split.write.mode("errorifexists").parquet(table)
     rows = spark.read.schema(split.schema).parquet(table)
-    if by == ("split",) and (audits.shared(rows, "key").limit(1).count() or audits.repeats(rows, "key").limit(1).count()):
-        raise ValueError("a reaction stands in a split twice or in two splits")
+    if by == ("split",):
+        _disjoint(rows)
     export.write_sets(rows, f"{out}/sets", seed, by)
-    made = export.content_hash(export.lines(rows, seed, by), by=by).collect()
-    found = {"params": export.jsonable(params), "sets": [{c: str(r[c]) for c in (*by, "n", "checksum")} for r in made], **(meta or {})}
+    describe = lambda x: [{c: str(r[c]) for c in (*by, "n", "sha256")} for r in export.content_hash(export.lines(x, seed, by), by=by).collect()]
+    found = {"params": export.jsonable(params), "sets": describe(rows), **(meta or {})}
+    # training and fine-tuning sets once more as one
+    tuned = sorted(s["split"] for s in found["sets"] if by == ("split",) and s["split"].startswith("ft"))
+    if tuned:
+        both = export.combined(rows, ["train", *tuned], f"train_and_{'_'.join(tuned)}")
+        export.write_sets(both, f"{out}/combined", seed, by)
+        found["combined"] = describe(both)
+    # of every file written, and of the clean table's files: as a table, and its digest in the manifest
+    hashes = {"files": [f"{out}/sets", *([f"{out}/combined"] if tuned else [])], "input": [params["clean_data_location"]] if params.get("clean_data_location") else []}
+    for name, paths in hashes.items():
+        for i, path in enumerate(paths):
+            export.file_hashes(spark, path).write.mode("append" if i else "errorifexists").parquet(f"{out}/hashes/{name}")
+        if paths:
+            own = spark.read.parquet(f"{out}/hashes/{name}").select(F.lit(name).alias("split"), F.concat_ws(" ", F.col("sha256"), F.regexp_extract("path", "[^/]*$", 0)).alias("value"))
+            found[f"{name}_sha256"] = export.content_hash(own).first().sha256
     export.write_manifest(spark, f"{out}/manifest", found)
+    LOG.info("%s: %s", out, ", ".join(f"{'/'.join(s[c] for c in by)} {s['n']}" for s in found["sets"]))
     return found
 
 
+def _disjoint(rows: DataFrame, by: tuple[str, ...] = ()) -> None:
+    """Raises if a key stands twice in one set, or in two sets of a group of `by`."""
+    grouped = rows.withColumn("_key", F.concat_ws("|", *by, "key"))
+    if audits.shared(grouped, "_key").limit(1).count() or audits.repeats(grouped, "_key").limit(1).count():
+        raise ValueError("a reaction stands in a split twice or in two splits")
+
+
 SplitFunction = Callable[[DataFrame, SplitParams], DataFrame]
 
 
@@ -78,16 +119,58 @@ def author_document_split(jurisdiction: str | None = "US", overbuffer: int = 200
     return split
 
 
+def run_class_specs(spark: SparkSession, params: SplitParams, folder: str, out: str, jurisdiction: str | None = "US") -> dict[str, dict]:
+    """One class split for every specification file of a folder, each below out by its name, with the classes whose definitions hold its terms in the manifest and the log."""
+    rows, made = spark.read.parquet(params.clean_data_location), {}
+    for spec in class_specs(folder):
+        warned = term_notes(rows, spec.terms_to_check, spec.excluded_name_rxns)
+        split = class_split(spec, jurisdiction)(rows, params)
+        made[spec.name] = _publish(spark, split, f"{out}/{spec.name}", asdict(params) | {"spec": asdict(spec)}, params.random_seed, meta={"term_warnings": warned})
+    return made
+
+
+def term_notes(rows: DataFrame, terms: list[list[str]], codes: list[str]) -> list[dict]:
+    """Classes outside the codes whose definitions hold all terms of a group, logged as warnings. One row a class."""
+    outside = rows.where(~C.in_class_set(F.col("name_rxn"), codes) & F.col("name_rxn_def").isNotNull())
+    found = [r.asDict() for r in splits.term_warnings(outside, terms).orderBy("term_group", "name_rxn", "name_rxn_def").collect()] if terms else []
+    for r in found:
+        LOG.warning("class %s (%s) holds the terms %s but isn't among the codes", r["name_rxn"], r["name_rxn_def"], r["term_group"])
+    return found
+
+
+def audit_sets(spark: SparkSession, pairs: list[tuple[str, str]], clean: str) -> list[dict]:
+    """For each pair of written sets (training, out of distribution): how many keys, documents and classes they share, by the clean table's rows of their keys, and keys that the table lacks."""
+    table, out = spark.read.parquet(clean).withColumn("doc", C.core_title(F.col("title"))).select("key", "doc", "name_rxn"), []
+    for train, ood in pairs:
+        both = raw.read_split(spark, train).select("key", F.lit("train").alias("split")).unionByName(raw.read_split(spark, ood).select("key", F.lit("ood").alias("split")))
+        known = both.join(table, "key", "left").select("key", "split", "doc", "name_rxn")
+        n = lambda value: audits.shared(known, value).count()  # noqa: B023, E731
+        out.append({"train": train, "ood": ood, "keys": n("key"), "docs": n("doc"), "classes": n("name_rxn"), "missing": both.join(table, "key", "left_anti").count()})
+        LOG.info("audit: %s", out[-1])
+    return out
+
+
 def run_time_split(spark: SparkSession, p: TimeParams, out: str) -> dict[str, dict]:
     """Test sets by year, and training and validation sets by cutoff."""
     rows = spark.read.parquet(p.clean_data_location)
-    split = splits.split_years(rows, p.test_amount, p.valid_proportion, p.random_seed, p.document_split)
+    split = splits.split_years(rows, p.test_amount, p.valid_proportion, p.random_seed, p.document_split, p.leeway)
     split.write.mode("errorifexists").parquet(f"{out}/years")
     split = spark.read.schema(split.schema).parquet(f"{out}/years")
+    _disjoint(split)
+    if p.document_split:
+        inside = split.withColumn("_doc", F.concat_ws("|", "year", "doc"))
+        if audits.shared(inside, "_doc").limit(1).count():
+            raise ValueError("a document stands in two sets of a year")
+    used, usable = split.count(), rows.where("year is not null and year >= 1900").count()
+    lost = {"rows": rows.count(), "of known year": usable, "in a set": used}
+    if p.document_split:
+        lost["short"] = [r.asDict() for r in splits.year_shortfalls(rows, p.test_amount, p.valid_proportion, p.random_seed).where("short > 0").orderBy("year", "split").collect()]
+    LOG.info("%s: %s", out, lost)
     most = splits.controlled_size(split, p.years_to_break, p.max_training_size, p.control_for_training_size)
     tests = _publish(spark, split.where("split = 'test'"), f"{out}/test_years", asdict(p), p.random_seed, ("year",))
     train = splits.cutoff_sets(split, p.years_to_break, most, p.max_val_size, p.random_seed)
-    cutoffs = _publish(spark, train, f"{out}/train_val_splits", asdict(p), p.random_seed, ("cutoff", "split"), {"max_train": most})
+    cutoffs = _publish(spark, train, f"{out}/train_val_splits", asdict(p), p.random_seed, ("cutoff", "split"), {"max_train": most, "counts": lost})
+    _disjoint(train, ("cutoff",))
     return {"test": tests, "cutoffs": cutoffs}
 
 
@@ -98,10 +181,11 @@ def run_bespoke(spark: SparkSession, p: BespokeParams, out: str) -> dict:
     for path, x in sets.items():
         if splits.missing_keys(x, rows).limit(1).count():
             raise ValueError(f"{path} has reactions that the clean table lacks")
+    warned = term_notes(rows, p.terms_to_check, p.namerxn_codes)
     every, kept = splits.bespoke(rows, p.namerxn_codes, list(sets.values()))
     both = kept.withColumn("split", F.lit("filtered"))
     if p.create_exclusion_ignored_set:
         both = both.unionByName(every.withColumn("split", F.lit("all")))
     overlaps = {r.dataset: r.n_overlap for r in splits.overlap_report(every, sets).collect()} if sets else {}
     # the two sets overlap by intent, so they are published by name and set together
-    return _publish(spark, both.withColumn("name", F.lit(p.name)), out, asdict(p), p.random_seed, ("name", "split"), {"overlaps": overlaps})
+    return _publish(spark, both.withColumn("name", F.lit(p.name)), out, asdict(p), p.random_seed, ("name", "split"), {"overlaps": overlaps, "term_warnings": warned})

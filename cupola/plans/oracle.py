@@ -179,11 +179,12 @@ SELECT 'even' AS dataset, count(*) AS n_overlap FROM c WHERE rid % 2 = 0 UNION A
     "bespoke_referential_check": f"WITH {RX} SELECT DISTINCT CAST(l_orderkey + l_linenumber AS VARCHAR) AS key FROM lineitem WHERE CAST(l_orderkey + l_linenumber AS VARCHAR) NOT IN (SELECT key FROM rx)",
     "audit_pairwise_overlap": f"""WITH {RX}, s AS (SELECT DISTINCT doc, 's' || (CAST('0x' || substr({md5('key', SEED)}, 1, 8) AS BIGINT) % 3) AS split FROM rx WHERE doc IS NOT NULL)
 SELECT a.split AS split_a, b.split AS split_b, count(*) AS n FROM s a JOIN s b ON a.doc = b.doc AND a.split < b.split GROUP BY a.split, b.split""",
-    "audit_author_containment": f"""WITH {RX}, {AUTHORS}, tr AS (SELECT DISTINCT author FROM au WHERE rid % 10 IN (1, 2) AND rid < 400)
-SELECT key FROM rx JOIN au USING (rid) WHERE rid % 10 = 0 GROUP BY key HAVING count(*) FILTER (WHERE author NOT IN (SELECT author FROM tr)) = 0""",
+    "audit_author_containment": f"""WITH {RX}, {AUTHORS}, part AS (SELECT rid, key, CAST('0x' || substr({md5('key', SEED)}, 1, 8) AS BIGINT) % 10 AS a, CAST('0x' || substr({md5('key', SEED + 1)}, 1, 8) AS BIGINT) % 500 AS b FROM rx),
+tr AS (SELECT DISTINCT author FROM au JOIN part USING (rid) WHERE a <> 0 AND b = 0)
+SELECT key FROM part JOIN au USING (rid) WHERE a = 0 GROUP BY key HAVING count(*) FILTER (WHERE author NOT IN (SELECT author FROM tr)) = 0""",
     "audit_doc_positive_control": f"WITH {_CLASSES} SELECT count(*) AS n_shared FROM (SELECT doc FROM cls WHERE split IN ('train', 'id_test') GROUP BY doc HAVING count(DISTINCT split) > 1)",
     "audit_class_overlap": f"WITH {_CLASSES} SELECT count(*) AS n_shared FROM (SELECT name_rxn FROM cls GROUP BY name_rxn HAVING count(DISTINCT split IN ('ft', 'od_test')) > 1)",
-    "audit_keys_disjoint": f"WITH {_CLASSES} SELECT count(*) AS n_shared, CAST(0 AS BIGINT) AS n_repeats FROM (SELECT key FROM cls GROUP BY key HAVING count(DISTINCT split) > 1)",
+    "audit_keys_disjoint": f"WITH {_CLASSES} SELECT (SELECT count(*) FROM (SELECT key FROM cls GROUP BY key HAVING count(DISTINCT split) > 1)) AS n_shared, (SELECT count(*) FROM (SELECT split, key FROM cls GROUP BY split, key HAVING count(*) > 1)) AS n_repeats",
     "audit_jurisdiction": f"WITH {RX} SELECT substr(doc, 1, 2) AS jurisdiction, count(DISTINCT doc) AS n_docs FROM rx WHERE doc IS NOT NULL GROUP BY 1",
     "audit_document_years": f"WITH {RX} SELECT doc, count(DISTINCT year) AS n_years FROM rx WHERE doc IS NOT NULL GROUP BY doc HAVING count(DISTINCT year) > 1",
     "changed_bonds_fullouter": """WITH s AS (SELECT l_orderkey AS rid, least(l_partkey % 10, l_suppkey % 10) AS a, greatest(l_partkey % 10, l_suppkey % 10) AS b, CAST(l_linenumber % 3 + 1 AS DOUBLE) AS ord, l_linenumber % 2 = 1 AS before FROM lineitem),
@@ -193,7 +194,16 @@ SELECT rid, a, b, coalesce(now, 0.0::DOUBLE) AS ord FROM j WHERE was IS DISTINCT
     "atom_map_numbers": "SELECT p_partkey, p_size || ',' || (p_partkey % 7) AS maps FROM part",
     "molecule_measures": f"WITH {_MEASURES} SELECT p_partkey, heavy, true AS carbon, bonds FROM mol",
     "fp_sum": "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(sum(CAST(round(CAST(embedding[pos] AS DOUBLE), 6) * 1000000 AS BIGINT)) AS DOUBLE) / 1000000, 4) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY label, pos",
-    "sha256_manifest": f"WITH {_CLASSES} SELECT split, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(key || '|' || name_rxn), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM cls GROUP BY split",
+    "sha256_manifest": f"""WITH {_CLASSES}, h AS (SELECT split, sha256(key || '|' || name_rxn) AS h FROM cls),
+a AS (SELECT split, substr(h, 1, 5) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY split, substr(h, 1, 5)),
+b AS (SELECT split, substr(p, 1, 2) AS q, sum(n) AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM a GROUP BY split, substr(p, 1, 2))
+SELECT split, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY q)) AS sha256 FROM b GROUP BY split""",
+    "time_split_shortfalls": f"{_YEARS} SELECT year, split, CAST(target AS BIGINT) AS target, CAST(least(target, stop - base) AS BIGINT) AS n_rows, CAST(target - least(target, stop - base) AS BIGINT) AS short FROM yl WHERE NOT (split = 'test' AND target = 0)",
+    "unknown_counts": f"""WITH {RX}, {AUTHORS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE title IS NULL) AS unknown_titles, count(*) FILTER (WHERE rid NOT IN (SELECT rid FROM au)) AS unknown_authors,
+  count(DISTINCT doc) AS n_docs, (SELECT count(DISTINCT lower(trim(author))) FROM au WHERE rid IN (SELECT rid FROM rx)) AS n_authors FROM rx""",
+    # by how it is made: only these ends leave a readable molecule, and a text of words is none
+    "unreadable_filter": f"""SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % {len(Q.SPOILT)} NOT IN (0, 1, 5, 7, 10, 11)
+UNION ALL SELECT 'd' || doc_id FROM documents""",
     "rxn_dedup_text": f"""WITH d AS (SELECT doc_id AS ord, md5(text) AS dkey, CASE WHEN source <> 'src0' THEN lang END AS name, CASE WHEN doc_id % 9 <> 0 THEN CAST(n_chars % 50 AS INTEGER) END AS year FROM documents), {fold_sql('d')}
 SELECT dkey, ord FROM fold""",
 }

@@ -10,12 +10,15 @@ from cupola.functions import molecules as M
 from cupola.operators import audits, checks, dedup, quota, splits
 from cupola.operators.ordering import ranked
 from cupola.plans.surrogates import SEED, arrivals, keyed, reactions, table
+from cupola.sources import export
 
 CODES = ["1.3", "2.8", "3", "4.4.1", "1.2.0"]
 SPEC = [[("test", 120)], [("valid", 80), ("extra", 40)], [("train", 500)]]
 AUTHOR_SPEC = [[[("author_od_test", 60)]], [[("doc_od_test", 60), ("ft", 20)], [("train", 300), ("id_test", 60), ("valid", 40)]]]
 CLASSES = {"valid": 60, "id_test": 60, "train_limit": 400, "od_test": 80, "finetune": 20}
 TERMS = [["blue"], ["red", "bolt"], ["green", "n"]]
+#: What is put after a part's molecule: nothing, whole pieces, open branches and rings, loose bonds.
+SPOILT = ["", "C", "(", "C1CC", "=", "=O", ")", "(C)", "..C", "[Xx]", "[Na+]", "C1CC1"]
 CUTOFFS = [1996, 1998, 2000]
 TEST_AMOUNT, VALID_PROPORTION = 100, 0.05
 MOST_TRAIN, MOST_VALID = 900, 60
@@ -188,6 +191,10 @@ def time_split_plain(spark, sf):
     return splits.split_years(reactions(spark, sf), TEST_AMOUNT, VALID_PROPORTION, SEED, by_document=False).select("key", "year", "split")
 
 
+def time_split_shortfalls(spark, sf):
+    return splits.year_shortfalls(reactions(spark, sf), TEST_AMOUNT, VALID_PROPORTION, SEED)
+
+
 def time_set_sizes(spark, sf):
     return splits.set_sizes(_years(spark, sf))
 
@@ -229,8 +236,10 @@ def audit_pairwise_overlap(spark, sf):
 
 
 def audit_author_containment(spark, sf):
+    """A tenth of the orders as out-of-distribution rows against a five-hundredth of the others as training rows, both by the seeded order, whatever the tables' size."""
     rows = reactions(spark, sf, authors=True)
-    return audits.covered_by(rows.where("rid % 10 = 0"), rows.where("rid % 10 in (1, 2) and rid < 400"))
+    ood = C.hash_split(F.col("key"), SEED, 10) == 0
+    return audits.covered_by(rows.where(ood), rows.where(~ood & (C.hash_split(F.col("key"), SEED + 1, 500) == 0)))
 
 
 def audit_doc_positive_control(spark, sf):
@@ -282,11 +291,20 @@ def fp_sum(spark, sf):
 
 
 def sha256_manifest(spark, sf):
-    """Per split: rows, and a checksum of the export lines that does not depend on how they are dealt to files."""
-    split = _classes(spark, sf)
-    lines = split.select("split", F.sha2(F.concat_ws("|", "key", "name_rxn").cast("binary"), 256).alias("h"))
-    # the sum of the first 8 hexadecimal digits needs no order, so no list is ever gathered
-    return lines.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 1, 8), 16, 10).cast("long")).alias("checksum"))
+    """Per split: rows, and the SHA-256 of its lines, which does not depend on how they are dealt to files."""
+    lines = _classes(spark, sf).select("split", F.concat_ws("|", "key", "name_rxn").alias("value"))
+    return export.content_hash(lines)
+
+
+def unknown_counts(spark, sf):
+    return quota.unknown_counts(reactions(spark, sf, authors=True))
+
+
+def unreadable_filter(spark, sf):
+    """Parts as molecules, some of them spoilt by their number, and texts: those that aren't readable."""
+    parts = molecules(spark, sf).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("smiles", F.element_at(F.array(*map(F.lit, SPOILT)), (F.col("p_partkey") % len(SPOILT) + 1).cast("int"))).alias("smiles"))
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("smiles"))
+    return parts.unionByName(texts).where(~M.readable(F.col("smiles"))).select("id")
 
 
 def rxn_dedup_text(spark, sf):
@@ -298,7 +316,7 @@ NAMES = (
     "hier_class_filter", "class_counts_by_split", "core_title", "date_parts", "json_extract_default", "cast_unknown", "multiset_key", "multiset_expand", "jsonl_export", "jsonl_roundtrip",
     "tokenize_count", "token_limit_filter", "first_failure_counts", "first_failure_detail", "dedup_displacement", "dup_count", "year_histogram", "provenance_histogram", "seeded_topk",
     "seeded_permutation", "doc_quota_fill", "doc_quota_meta", "level_slices", "author_first_claim", "author_doc_split", "namerxn_split", "id_doc_antijoin", "term_warnings", "time_split_sizes",
-    "time_split_assign", "time_split_plain", "time_set_sizes", "cutoff_training_sets", "train_size_control", "bespoke_filtered", "bespoke_overlap_report", "bespoke_referential_check",
+    "time_split_assign", "time_split_plain", "time_split_shortfalls", "time_set_sizes", "unknown_counts", "unreadable_filter", "cutoff_training_sets", "train_size_control", "bespoke_filtered", "bespoke_overlap_report", "bespoke_referential_check",
     "audit_pairwise_overlap", "audit_author_containment", "audit_doc_positive_control", "audit_class_overlap", "audit_keys_disjoint", "audit_jurisdiction", "audit_document_years",
     "changed_bonds_fullouter", "atom_map_numbers", "molecule_measures", "fp_sum", "sha256_manifest", "rxn_dedup_text",
 )

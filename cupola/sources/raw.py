@@ -56,7 +56,7 @@ def ordered(rows: DataFrame) -> DataFrame:
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row a block of a file
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy("ingest_row")
-    return rows.join(F.broadcast(offsets), keys).withColumn("ingest_ord", F.col("_before") + F.row_number().over(inside) - 1).drop("_before", "ingest_row", *keys)
+    return rows.join(offsets, keys).withColumn("ingest_ord", F.col("_before") + F.row_number().over(inside) - 1).drop("_before", "ingest_row", *keys)
 
 
 def flatten(rows: DataFrame, extras: bool = True) -> DataFrame:
