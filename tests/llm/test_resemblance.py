@@ -72,3 +72,18 @@ def test_recall_at_the_limit():
         hit += bool(set(resemblance.bands(a)) & set(resemblance.bands(b)))
     print("recall", hit / 1000)
     assert hit >= 970
+
+
+def test_a_group_whose_members_drift_apart(spark):
+    """Copies of one text with 1 to 7 edits: many share bands and aren't near any other; a few share their edits with one other."""
+    rnd = random.Random(3)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for k in range(60):
+        one = edited(base, 1 + k % 7, rnd)
+        texts[len(texts)] = " ".join(one)
+        if k % 5 == 0:
+            texts[len(texts)] = " ".join([*one[:-1], f"end{k}"])
+    want = plain_components(texts)
+    got = {r.id: r.component for r in resemblance.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(set(want.values())) > 20
