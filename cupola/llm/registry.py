@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cupola.llm import bpe, decontaminate, imatch, langid, quality, revisit, secrets, simhash, tokenfile, urlfilter
+from cupola.llm import bpe, decontaminate, filteraudit, imatch, langid, nra, quality, revisit, secrets, simhash, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_tokens": tokenfile.op1_tokens,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_imatch": imatch.op8_imatch,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "op11_lexical": nra.op11_lexical,
+    "op12_filteraudit": filteraudit.op12_filteraudit,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_imatch": imatch.OP8_SQL,
     "op6_urlfilter": urlfilter.OP6_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op11_lexical": nra.OP11_SQL,
+    "op12_filteraudit": filteraudit.OP12_SQL,
 }
