@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through block-max inverted indexes.
 
 Terms are words in small letters and stems, the first STEMS letters of longer words. Those whose presence tells the label
-among the learning rows (log-likelihood ratio of EVIDENT or more, at most TERMS) span the space; a text is a vector of
+among the learning rows (log-likelihood ratio of EVIDENT or more, and a share of toxic rows TELLING times that of all rows or more,
+or as much less; at most TERMS) span the space; a text is a vector of
 (1 + ln tf) * idf, brought to length 1, with document frequencies over all documents. Words that say nothing about the
 label are left out of the space, as the cosine of whole texts measures their subject and length.
 
@@ -40,6 +41,8 @@ from cupola.llm.common import stored, table
 LEARN, TERMS = 12_000, 4096
 #: Least log-likelihood ratio of a term (chi-square with one degree of freedom: one of 130,000 terms by chance).
 EVIDENT = 20.0
+#: Factor between the share of toxic rows among a term's rows and that among all: frequent words can be evident and yet tell next to nothing.
+TELLING = 2.0
 STEMS = (4, 5, 6)
 BLOCK, NEAR, SHOWN = 64, 15, 3
 #: Score from which a document counts as toxic.
@@ -95,7 +98,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn: int = LEARN) -> DataFram
 _EXAMPLE = ["doc_id", "toxic", "mark", "alike", "terms", "tfs"]
 
 
-def space(learning: DataFrame, most: int = TERMS, evident: float = EVIDENT) -> list[str]:
+def space(learning: DataFrame, most: int = TERMS, evident: float = EVIDENT, telling: float = TELLING) -> list[str]:
     """The terms that tell the label, by the log-likelihood ratio of presence and label."""
     total = learning.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = total.n, total.pos
@@ -106,19 +109,32 @@ def space(learning: DataFrame, most: int = TERMS, evident: float = EVIDENT) -> l
     df, hit = F.col("df").cast("double"), F.col("hit").cast("double")
     p = pos / n
     ratio = cell(hit, df * p) + cell(df - hit, df * (1 - p)) + cell(pos - hit, (n - df) * p) + cell(n - pos - df + hit, (n - df) * (1 - p))
-    return sorted(r.term for r in counts.withColumn("g", ratio).where(F.col("g") >= evident).orderBy(F.desc("g"), "term").limit(most).collect())
+    tells = (hit >= telling * p * df) | (hit <= p * df / telling)
+    return sorted(r.term for r in counts.withColumn("g", ratio).where((F.col("g") >= evident) & tells).orderBy(F.desc("g"), "term").limit(most).collect())
 
 
 def vectors(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
     """(doc_id, ids, tfs) of every row: the terms of the space that its text holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    stems = [{w[:-1]: i for w, i in numbers.items() if w[-1] == "~" and len(w) == k + 1} for k in STEMS]
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for w, i in numbers.items() if w[-1] != "~"}, list(zip(STEMS, stems, strict=True))))
+
+    def vector(text: str | None) -> list[tuple[int, int]]:
+        """As terms(), but only stems of the space are made."""
+        whole, stems = shared.value
+        own: Counter = Counter()
+        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
+            if word in whole:
+                own[whole[word]] += n
+            for k, known in stems:
+                if len(word) > k and (i := known.get(word[:k])) is not None:
+                    own[i] += n
+        return sorted(own.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                own = [sorted((known[w], n) for w, n in terms(t).items() if w in known) for t in part.column(1).to_pylist()]
+                own = [vector(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([[x[k] for x in row] for row in own], pa.list_(pa.int32())) for k in (0, 1)]], names=["doc_id", "ids", "tfs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

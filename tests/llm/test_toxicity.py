@@ -91,3 +91,19 @@ def test_group_of_copies_gives_no_terms(spark):
     marked = labels.unionByName(copies.select("doc_id", F.lit(1).alias("toxic")))
     chosen = T.space(T.examples(more, marked))
     assert "vilest" in chosen and "among" not in chosen
+
+
+def test_vectors_are_the_counts_of_the_terms_in_the_space(spark):
+    docs, _ = _tables(spark, 40)
+    numbers = {t: i for i, t in enumerate(["abcd", "nast~", "nasti~", "nastiness", "vilest", "vile~", "agai~"])}
+    for r in T.vectors(docs, numbers).join(docs.select("doc_id", "text"), "doc_id").where("doc_id <> 7").collect():
+        assert dict(zip(r.ids, r.tfs)) == {numbers[t]: n for t, n in T.terms(r.text).items() if t in numbers}
+
+
+def test_words_of_all_texts_stay_out_of_the_space(spark):
+    rng = random.Random(1)
+    # "common" stands in more toxic rows than chance explains, and tells next to nothing
+    rows = [(str(i), int(i % 10 == 0), i, i, ["common"] * (rng.random() < (0.75 if i % 10 == 0 else 0.6)) + ["vilest"] * (i % 20 == 0), [1]) for i in range(8000)]
+    learning = spark.createDataFrame(rows, "doc_id string, toxic int, mark long, alike long, terms array<string>, tfs array<int>")
+    assert T.space(learning) == ["vilest"]
+    assert T.space(learning, telling=1.0) == ["common", "vilest"]
