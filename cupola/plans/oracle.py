@@ -179,9 +179,10 @@ SELECT 'even' AS dataset, count(*) AS n_overlap FROM c WHERE rid % 2 = 0 UNION A
     "bespoke_referential_check": f"WITH {RX} SELECT DISTINCT CAST(l_orderkey + l_linenumber AS VARCHAR) AS key FROM lineitem WHERE CAST(l_orderkey + l_linenumber AS VARCHAR) NOT IN (SELECT key FROM rx)",
     "audit_pairwise_overlap": f"""WITH {RX}, s AS (SELECT DISTINCT doc, 's' || (CAST('0x' || substr({md5('key', SEED)}, 1, 8) AS BIGINT) % 3) AS split FROM rx WHERE doc IS NOT NULL)
 SELECT a.split AS split_a, b.split AS split_b, count(*) AS n FROM s a JOIN s b ON a.doc = b.doc AND a.split < b.split GROUP BY a.split, b.split""",
-    "audit_author_containment": f"""WITH {RX}, {AUTHORS}, part AS (SELECT rid, key, CAST('0x' || substr({md5('key', SEED)}, 1, 8) AS BIGINT) % 10 AS a, CAST('0x' || substr({md5('key', SEED + 1)}, 1, 8) AS BIGINT) % 500 AS b FROM rx),
-tr AS (SELECT DISTINCT author FROM au JOIN part USING (rid) WHERE a <> 0 AND b = 0)
-SELECT key FROM part JOIN au USING (rid) WHERE a = 0 GROUP BY key HAVING count(*) FILTER (WHERE author NOT IN (SELECT author FROM tr)) = 0""",
+    "audit_author_containment": f"""WITH {_AUTHOR_BASE}, {author_levels_sql(20)}, s AS (SELECT key, split FROM p0out UNION ALL SELECT key, split FROM p1out),
+sa AS (SELECT DISTINCT s.key, s.split, lower(trim(author)) AS author FROM s JOIN rx USING (key) JOIN au USING (rid)),
+tr AS (SELECT DISTINCT author FROM sa WHERE split = 'train')
+SELECT key, count(*) AS n_authors, count(tr.author) AS n_seen, count(*) = count(tr.author) AS covered FROM sa LEFT JOIN tr USING (author) WHERE split IN ('author_od_test', 'doc_od_test') GROUP BY key""",
     "audit_doc_positive_control": f"WITH {_CLASSES} SELECT count(*) AS n_shared FROM (SELECT doc FROM cls WHERE split IN ('train', 'id_test') GROUP BY doc HAVING count(DISTINCT split) > 1)",
     "audit_class_overlap": f"WITH {_CLASSES} SELECT count(*) AS n_shared FROM (SELECT name_rxn FROM cls GROUP BY name_rxn HAVING count(DISTINCT split IN ('ft', 'od_test')) > 1)",
     "audit_keys_disjoint": f"WITH {_CLASSES} SELECT (SELECT count(*) FROM (SELECT key FROM cls GROUP BY key HAVING count(DISTINCT split) > 1)) AS n_shared, (SELECT count(*) FROM (SELECT split, key FROM cls GROUP BY split, key HAVING count(*) > 1)) AS n_repeats",
