@@ -2,18 +2,17 @@
 
 A molecule's token list is enough for its atoms, bonds and elements: a fragment of n atoms is a tree of n - 1
 bonds plus one bond for each ring closure, whose label stands twice. The normal form drops atom maps and isotopes
-and the brackets that then say no more than the bare symbol would; it is a string form, equal for equal spelling, and no
-canonical ranking of atoms. It needs each atom's bonds, so it is a small function of one molecule, run on Arrow batches.
+and the brackets that then say no more than the bare symbol would; it is a string form, equal for equal spelling; keys that
+are equal for all spellings are in `structure`. It needs each atom's bonds, so it is a small function of one molecule, run on
+Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -21,8 +20,6 @@ from cupola.functions.columns import TOKEN, tokenizes, tokens
 
 #: Elements that need no bracket, aromatic ones included.
 PLAIN = "B|C|N|O|S|P|F|Cl|Br|I|b|c|n|o|s|p"
-#: Bits of a hashed fingerprint and the longest token run that sets one.
-BITS, RUN = 2048, 4
 
 
 def is_atom(token: Column) -> Column:
@@ -119,26 +116,6 @@ def normal_form(smiles: pd.Series) -> pd.Series:
     return smiles.map(lambda x: plain_brackets(_stripped(x)), na_action="ignore")
 
 
-def with_normal_forms(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """rows with the arrays of molecules of the named columns brought to their normal forms, each molecule once a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, str] = {}
-            made = []
-            for k in range(len(names)):
-                column = batch.column(1 + k)
-                for x in set(column.flatten().to_pylist()) - known.keys():
-                    known[x] = plain_brackets(_stripped(x))
-                made.append(pa.array([None if xs is None else [known[x] for x in xs] for xs in column.to_pylist()], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", *names])
-
-    kept = [c for c in rows.columns if c not in names]
-    row = rows.select(F.struct(*kept).alias("row"), *names)
-    kinds = ", ".join(f"{n} array<string>" for n in names)
-    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}, {kinds}").select(*[F.col("row").getField(c).alias(c) for c in kept], *names)
-
-
 #: The element symbols that a bracket can hold, aromatic ones last.
 ELEMENTS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho "
@@ -163,26 +140,6 @@ def readable(smiles: Column) -> Column:
     return F.coalesce(tokenizes(smiles) & sound & depth & paired, F.lit(False))
 
 
-def neutral_form(smiles: Column) -> Column:
-    """Charges that protons can balance removed, in molecules whose charges all have one sign.
-
-    With both signs present a pair may be neighbours (as in nitro groups) and stays; so do charged atoms without
-    hydrogen to give.
-    """
-    minus, plus = smiles.rlike(r"\[[^\]]*-\d?\]"), smiles.rlike(r"\[[^\]]*\+\d?\]")
-    lone = F.regexp_replace(smiles, r"\[([OSNP])-\]", "$1")
-    given = F.regexp_replace(F.regexp_replace(smiles, r"\[([NPOS])H[2-4]?\+\]", "$1"), r"\[nH\+\]", "n")
-    return F.when(minus & ~plus, lone).when(plus & ~minus, given).otherwise(smiles)
-
-
-def fingerprint(smiles: Column, bits: int = BITS, run: int = RUN) -> Column:
-    """A bit vector (array of float 0 or 1) with a bit for every run of up to `run` tokens of a molecule in its normal form."""
-    t = tokens(smiles)
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), "")) if k == 1 else F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.array_join(F.slice(t, i + 1, k), ""))).otherwise(F.array().cast("array<string>")) for k in range(1, run + 1)]))  # noqa: B023
-    places = F.array_distinct(F.transform(runs, lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(bits)).cast("int")))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.array_contains(places, i).cast("float"))
-
-
 def vector_sum(vectors: Column, size: int) -> Column:
     """The element-wise sum of an array of vectors."""
     return F.aggregate(vectors, F.array_repeat(F.lit(0.0).cast("float"), size), lambda acc, v: F.zip_with(acc, v, lambda a, b: (a + b).cast("float")))

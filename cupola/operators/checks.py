@@ -9,25 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cupola.functions import molecules as M
-from cupola.functions.columns import expand, tokens
-
 TOKEN_LIMIT = 800
 
 
+#: Multisets with the measures of each molecule, as operators.dictionary makes them once for every distinct one.
+MEASURED = "array<struct<smi:string,n:int,key:string,neutral_key:string,heavy:int,carbon:boolean,bonds:int,n_tokens:int>>"
+
+
 def registry(reactants: Column, products: Column, token_limit: int = TOKEN_LIMIT, least_heavy: int = 5) -> dict[str, Column]:
-    """Checks by name, in the order in which they run."""
-    heavy = F.aggregate(reactants, F.lit(0), lambda acc, x: acc + x["n"] * M.heavy_atoms(x["smi"]))
-    size = lambda ms: F.size(tokens(F.array_join(expand(ms), ".")))
-    have = F.transform(reactants, lambda x: x["smi"])
-    neutral = lambda ms: F.transform(ms, lambda x: M.neutral_form(x["smi"]))
+    """Checks by name (fixed values), in the order in which they run, over multisets of measured molecules."""
+    count = lambda ms: F.aggregate(ms, F.lit(0), lambda acc, x: acc + x["n"])
+    # the molecules of a side are joined by dots, one token each
+    size = lambda ms: F.aggregate(ms, F.lit(0), lambda acc, x: acc + x["n"] * x["n_tokens"]) + F.greatest(count(ms) - 1, F.lit(0))
+    every = lambda ms, name: F.transform(ms, lambda x: x[name])
     return {
-        "at_least_5_heavy_atoms_in_reactants": heavy >= least_heavy,
-        "at_least_one_carbon_in_reactants": F.exists(reactants, lambda x: M.has_carbon(x["smi"])),
+        "at_least_5_heavy_atoms_in_reactants": F.aggregate(reactants, F.lit(0), lambda acc, x: acc + x["n"] * x["heavy"]) >= least_heavy,
+        "at_least_one_carbon_in_reactants": F.exists(reactants, lambda x: x["carbon"]),
         "under_800_tokens": (size(reactants) < token_limit) & (size(products) < token_limit),
-        "at_least_two_bonds_in_one_molecule": F.array_max(F.transform(reactants, lambda x: M.bonds(x["smi"]))) >= 2,
-        "at_least_one_larger_product_different": F.exists(products, lambda x: ~F.array_contains(have, x["smi"]) & (M.heavy_atoms(x["smi"]) >= 2)),
-        "not_deprotonation": F.size(F.array_except(neutral(products), neutral(reactants))) > 0,
+        "at_least_two_bonds_in_one_molecule": F.array_max(every(reactants, "bonds")) >= 2,
+        "at_least_one_larger_product_different": F.exists(products, lambda x: ~F.array_contains(every(reactants, "key"), x["key"]) & (x["heavy"] >= 2)),
+        "not_deprotonation": F.size(F.array_except(every(products, "neutral_key"), every(reactants, "neutral_key"))) > 0,
     }
 
 
@@ -47,7 +48,7 @@ def failure_counts(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _names(rows: DataFrame) -> DataFrame:
-    empty = F.array().cast("array<struct<smi:string,n:int>>")
+    empty = F.array().cast(MEASURED)
     return rows.sparkSession.createDataFrame([(n,) for n in registry(empty, empty)], "first_failure string")
 
 

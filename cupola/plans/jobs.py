@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cupola.functions import columns as C
-from cupola.functions.molecules import readable, with_normal_forms
-from cupola.operators import audits, checks, dedup, splits
+from cupola.functions.molecules import strip_isotopes, strip_maps
+from cupola.operators import audits, checks, dedup, dictionary, splits
 from cupola.plans.configs import BespokeParams, ClassSpec, SplitParams, TimeParams, class_specs
 from cupola.sources import export, raw
+from cupola.sources.tables import written
 
 LOG = logging.getLogger("cupola")
 
@@ -31,20 +32,33 @@ def log_to(path: str) -> None:
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """Flat rows with reactants, products and key; all NULL where the text is no reaction, or one of its molecules isn't readable."""
+    """Flat rows with reactants, products, key and first_failure; all NULL where the text is no reaction, or one of its molecules isn't readable.
+
+    Molecules are parsed, keyed and measured once for every distinct string; all spellings of a molecule become one, so
+    equal reactions meet in one key. Only row numbers and molecules move for that; rows meet what was found once.
+    """
     left, right = C.reaction_molecules(F.col("smiles"))
-    read = F.forall(F.concat(left, right), readable)
-    sided = with_normal_forms(rows.withColumns({"_left": F.when(read, left), "_right": F.when(read, right)}), ("_left", "_right"))
-    sided = sided.withColumns({"reactants": C.multiset(F.col("_left")), "products": C.multiset(F.col("_right"))}).drop("_left", "_right")
-    return sided.withColumn("key", C.reaction_key(F.col("reactants"), F.col("products")))
+    plain = lambda ms, side: F.transform(ms, lambda x: F.struct(F.lit(side).alias("left"), strip_isotopes(strip_maps(x)).alias("text")))
+    staged = written(rows.select("*", F.monotonically_increasing_id().alias("_row"), F.concat(plain(left, True), plain(right, False)).alias("_molecules")), "reactions")
+    each = staged.select("_row", F.explode("_molecules").alias("x")).select("_row", "x.left", "x.text")
+    known = written(dictionary.measured(each.select(F.col("text").alias("smi"))), "dictionary")
+    item = F.struct(F.col("form").alias("smi"), *dictionary.MEASURES)
+    pick = lambda c: F.collect_list(F.when(c, item))
+    found = dictionary.joined(each, known, "text").groupBy("_row").agg(F.bool_or(F.col("form").isNull()).alias("_bad"), pick(F.col("left")).alias("_l"), pick(~F.col("left")).alias("_r"))
+    fields = ", ".join(f"y.{c}" for c in dictionary.MEASURES)
+    # of a row's molecules, each once with its count, in order
+    counted = lambda c: F.expr(f"array_sort(transform(array_distinct({c}), y -> struct(y.smi as smi, size(filter({c}, z -> z.smi = y.smi)) as n, {fields})))").cast(checks.MEASURED)
+    sided = staged.join(found, "_row", "left").withColumns({"_ok": F.col("_molecules").isNotNull() & ~F.coalesce("_bad", F.lit(False)), "_l": F.coalesce(counted("_l"), F.array().cast(checks.MEASURED)), "_r": F.coalesce(counted("_r"), F.array().cast(checks.MEASURED))})
+    short = lambda c: F.when(F.col("_ok"), F.transform(c, lambda x: F.struct(x["smi"].alias("smi"), x["n"].alias("n"))))
+    sided = sided.withColumns({"reactants": short("_l"), "products": short("_r"), "first_failure": F.when(F.col("_ok"), checks.first_failure(checks.registry(F.col("_l"), F.col("_r"))))})
+    return sided.select(*rows.columns, "reactants", "products", C.reaction_key(F.col("reactants"), F.col("products")).alias("key"), "first_failure")
 
 
 def clean(spark: SparkSession, roots: str | list[str], out: str, strict: bool = True, subfolders: str | list[str] | None = None) -> dict[str, int]:
     """Raw files (below a root's named extract subfolders, if given) to `out/clean`, with `out/failures` (raw text and first failing check), `out/unreadable` and `out/provenance` beside it. Returns the counts."""
     if subfolders is not None:
         roots = [p for r in ([roots] if isinstance(roots, str) else roots) for p in raw.subfolder_paths(r, subfolders)]
-    rows = canonical(raw.flatten(raw.ordered(raw.read_raw(spark, roots, strict))))
-    checked = rows.withColumn("first_failure", F.when(F.col("key").isNotNull(), checks.first_failure(checks.registry(F.col("reactants"), F.col("products")))))
+    checked = canonical(raw.flatten(raw.ordered(raw.read_raw(spark, roots, strict))))
     checked.write.mode("errorifexists").parquet(f"{out}/staged")  # read again by every step below
     staged = spark.read.schema(checked.schema).parquet(f"{out}/staged")
     staged.where("key is null").select("smiles").distinct().write.parquet(f"{out}/unreadable")

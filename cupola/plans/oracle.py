@@ -192,6 +192,31 @@ SELECT key, count(*) AS n_authors, count(tr.author) AS n_seen, count(*) = count(
 w AS (SELECT rid, a, b, max(ord) AS ord FROM s WHERE before GROUP BY rid, a, b), n AS (SELECT rid, a, b, max(ord) AS ord FROM s WHERE NOT before GROUP BY rid, a, b),
 j AS (SELECT coalesce(w.rid, n.rid) AS rid, coalesce(w.a, n.a) AS a, coalesce(w.b, n.b) AS b, w.ord AS was, n.ord AS now FROM w FULL OUTER JOIN n ON w.rid = n.rid AND w.a = n.a AND w.b = n.b)
 SELECT rid, a, b, coalesce(now, 0.0::DOUBLE) AS ord FROM j WHERE was IS DISTINCT FROM now AND EXISTS (SELECT 1 FROM n WHERE n.rid = j.rid AND (n.a IN (j.a, j.b) OR n.b IN (j.a, j.b)))""",
+    # by how the reactions are made: k carbons, and what each kind does to them
+    "changed_bonds_text": """WITH p AS (SELECT p_partkey, CAST(2 + p_size % 7 AS INTEGER) AS k, p_partkey % 6 AS v FROM part),
+x AS (
+  SELECT p_partkey, k AS a, 90 AS b, 0.0::DOUBLE AS ord FROM p WHERE v = 0 UNION ALL SELECT p_partkey, k, 92, 1.0::DOUBLE FROM p WHERE v = 0
+  UNION ALL SELECT p_partkey, 31, 32, 1.0::DOUBLE FROM p WHERE v = 1
+  UNION ALL SELECT p_partkey, 50, 90, 0.0::DOUBLE FROM p WHERE v = 2 UNION ALL SELECT p_partkey, 1, 50, 1.0::DOUBLE FROM p WHERE v = 2
+  UNION ALL SELECT p_partkey, 66, 90, 0.0::DOUBLE FROM p WHERE v = 3 UNION ALL SELECT p_partkey, 66, 95, 1.0::DOUBLE FROM p WHERE v = 3
+  UNION ALL SELECT p_partkey, 50, 90, 2.0::DOUBLE FROM p WHERE v = 5)
+SELECT p_partkey, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, ord FROM x""",
+    "reagent_split": """WITH p AS (
+  SELECT p_partkey, p_partkey % 6 AS v, '[cH:61]1[cH:62][cH:63][cH:64][cH:65][c:66]1' AS z,
+    array_to_string(list_transform(range(1, CAST(3 + p_size % 7 AS INTEGER)), lambda i: '[CH2:' || i || ']'), '') AS c
+  FROM part)
+SELECT p_partkey,
+  CASE v WHEN 0 THEN c || '[Cl:90].[CH3:91][NH2:92]' WHEN 1 THEN '[CH2:31]=[CH:32]' || c || '[CH3:60]' WHEN 2 THEN c || '[CH2:50][Br:90]' WHEN 3 THEN z || '[Cl:90].[OH2:95]' WHEN 4 THEN 'O' ELSE c || '[CH2:50][OH:90]' END AS reactants,
+  CASE v WHEN 0 THEN 'CCO.[OH2:99]' WHEN 1 THEN '[HH]' WHEN 2 THEN '' WHEN 3 THEN '[Na+].[OH-].' || c WHEN 4 THEN '[OH:90]' || c || '[CH3:60].O' ELSE 'O.OCC' END AS reagents,
+  CASE v WHEN 0 THEN c || '[NH:92][CH3:91]' WHEN 1 THEN '[CH3:31][CH2:32]' || c || '[CH3:60]' WHEN 2 THEN replace(c, '[CH2:1]', '[CH2:1]%12') || '[CH2:50]%12.[BrH:90]' WHEN 3 THEN z || '[OH:95]' WHEN 4 THEN '' ELSE c || '[CH:50]=[O:90].O' END AS products
+FROM p""",
+    "neutral_pairs": "SELECT p_partkey, false AS same, p_partkey % 5 IN (0, 1, 3) AS same_neutral FROM part",
+    "canonical_spellings": """WITH p AS (
+  SELECT p_partkey, p_partkey % 4 = 3 AS acid, p_size % 7 AS k,
+    CASE p_partkey % 4 WHEN 0 THEN repeat('C', CAST(1 + p_size % 7 AS INTEGER)) || 'O' WHEN 1 THEN 'O' || repeat('C', CAST(1 + p_size % 7 AS INTEGER)) WHEN 2 THEN 'C(O)' || repeat('C', CAST(p_size % 7 AS INTEGER))
+      ELSE 'N[C@@H](' || repeat('C', CAST(1 + p_size % 7 AS INTEGER)) || ')C(=O)O' END AS smi
+  FROM part)
+SELECT p_partkey, smi, first_value(smi) OVER (PARTITION BY acid, k ORDER BY length(smi), smi) AS form, count(*) OVER (PARTITION BY smi) AS n FROM p""",
     "atom_map_numbers": "SELECT p_partkey, p_size || ',' || (p_partkey % 7) AS maps FROM part",
     "molecule_measures": f"WITH {_MEASURES} SELECT p_partkey, heavy, true AS carbon, bonds FROM mol",
     "fp_sum": "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(sum(CAST(round(CAST(embedding[pos] AS DOUBLE), 6) * 1000000 AS BIGINT)) AS DOUBLE) / 1000000, 4) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY label, pos",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cupola.functions import columns as C
 from cupola.functions import molecules as M
-from cupola.operators import audits, checks, dedup, quota, splits
+from cupola.functions import structure as S
+from cupola.operators import audits, checks, dedup, dictionary, quota, splits
 from cupola.operators.ordering import ranked
 from cupola.plans.surrogates import SEED, arrivals, keyed, reactions, table
 from cupola.sources import export
@@ -87,10 +88,17 @@ def token_limit_filter(spark, sf):
 
 
 def _checked(spark, sf):
-    """Orders as reactions of part molecules, with the first check that each fails."""
-    items = table(spark, sf, "lineitem").join(molecules(spark, sf), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("rid"), "smiles", (F.col("l_linenumber") <= 3).alias("left"))
-    pick = lambda c: C.multiset(F.sort_array(F.collect_list(F.when(c, F.col("smiles")))))
-    both = items.groupBy("rid").agg(pick(F.col("left")).alias("reactants"), pick(~F.col("left")).alias("products"))
+    """Orders as reactions of part molecules, each distinct molecule measured once, with the first check that each order fails."""
+    parts = molecules(spark, sf)
+    found = dictionary.measured(parts.select(F.col("smiles").alias("smi")))
+    numbered = dictionary.joined(parts, found.select("smi", "n", "number"), "smiles").select("p_partkey", "number")
+    items = table(spark, sf, "lineitem").join(numbered, F.col("l_partkey") == F.col("p_partkey"))
+    # numbers are counted and moved; what is known of a molecule comes last
+    counted = items.groupBy(F.col("l_orderkey").alias("rid"), (F.col("l_linenumber") <= 3).alias("left"), "number").agg(F.count("*").cast("int").alias("n"))
+    known = found.groupBy("number").agg(*[F.first(c).alias(c) for c in ("form", *dictionary.MEASURES)], F.sum("n").alias("n"))
+    item = F.struct(F.col("form").alias("smi"), "n", *dictionary.MEASURES)
+    pick = lambda c: F.sort_array(F.collect_list(F.when(c, item))).cast(checks.MEASURED)
+    both = dictionary.joined(counted, known, "number", by="number").groupBy("rid").agg(pick(F.col("left")).alias("reactants"), pick(~F.col("left")).alias("products"))
     return both.withColumn("first_failure", checks.first_failure(checks.registry(F.col("reactants"), F.col("products"), token_limit=40)))
 
 
@@ -274,6 +282,67 @@ def changed_bonds_fullouter(spark, sf):
     return checks.changed_bonds(sides, "rid").select("rid", "a", "b", "ord")
 
 
+#: Mapped reactions over a part: k carbons in a row (2 to 8 by its size), what happens to them by its number.
+_K = "cast(2 + p_size % 7 as int)"
+_ROW = "array_join(transform(sequence({a}, {b}), i -> concat('[CH2:', i, ']')), '')"
+_CHAIN = _ROW.format(a=1, b=_K)
+_BENZENE = "[cH:61]1[cH:62][cH:63][cH:64][cH:65][c:66]1"
+MAPPED = f"""case p_partkey % 6
+  when 0 then concat({_CHAIN}, '[Cl:90].[CH3:91][NH2:92].[OH2:99]>CCO>[OH2:99].', {_CHAIN}, '[NH:92][CH3:91]')
+  when 1 then concat('[CH2:31]=[CH:32]', {_CHAIN}, '[CH3:60].[HH]>>[CH3:31][CH2:32]', {_CHAIN}, '[CH3:60] |f|')
+  when 2 then concat({_CHAIN}, '[CH2:50][Br:90]>>', replace({_CHAIN}, '[CH2:1]', '[CH2:1]%12'), '[CH2:50]%12.[BrH:90]')
+  when 3 then concat('{_BENZENE}[Cl:90].[OH2:95].', {_CHAIN}, '>[Na+].[OH-]>{_BENZENE}[OH:95]')
+  when 4 then concat('[OH:90]', {_CHAIN}, '[CH3:60].O.O>>[CH2:1]([OH:90])', {_ROW.format(a=2, b=_K)}, '[CH3:60].[OH2]')
+  else concat({_CHAIN}, '[CH2:50][OH:90].O.OCC>>', {_CHAIN}, '[CH:50]=[O:90].O') end"""
+#: Pairs of molecules over a part that a proton tells apart, or more than that.
+CHARGED = """case p_partkey % 5
+  when 0 then array(concat(c, 'C(=O)[O-]'), concat('OC(=O)', c)) when 1 then array(concat(c, 'C[NH3+]'), concat('NC', c))
+  when 2 then array(concat(c, '[N+](=O)[O-]'), concat(c, '[NH+](O)[O-]')) when 3 then array(concat('[NH3+]C', c, 'C(=O)[O-]'), concat('OC(=O)', c, 'CN'))
+  else array(concat(c, 'C[N+](C)(C)C'), concat(c, 'CN(C)C')) end"""
+#: Spellings of an alcohol of so many carbons, and of an amino acid.
+SPELLINGS = """case p_partkey % 4 when 0 then concat(c, 'O') when 1 then concat('O', c) when 2 then concat('C(O)', substr(c, 2)) else concat('N[C@@H](', c, ')C(=O)O') end"""
+
+
+def _parts(spark, sf, *columns):
+    return table(spark, sf, "part").withColumn("c", F.expr("repeat('C', cast(1 + p_size % 7 as int))")).select("p_partkey", *columns)
+
+
+def mapped_reactions(spark, sf):
+    return _parts(spark, sf, F.expr(MAPPED).alias("rxn"))
+
+
+def changed_bonds_text(spark, sf):
+    """Bonds that change, from mapped reaction strings."""
+    left, _, right = S.sides_of(F.col("rxn"))
+    sides = S.with_molecules(mapped_reactions(spark, sf).select("p_partkey", left.alias("l"), right.alias("r")), before="l", after="r")
+    return sides.select("p_partkey", F.explode(S.changed_bonds(F.col("before"), F.col("after"))).alias("x")).select("p_partkey", "x.a", "x.b", "x.ord")
+
+
+def reagent_split(spark, sf):
+    """Mapped reactions with their reagents told apart by the reaction centre."""
+    return S.with_reagents(mapped_reactions(spark, sf), "rxn").drop("rxn")
+
+
+def neutral_pairs(spark, sf):
+    """Whether two molecules are one, and one once protons have balanced their charges."""
+    pair = S.with_molecules(_parts(spark, sf, F.expr(CHARGED).alias("pair")), m="pair").select("p_partkey", "m", F.transform("m", S.neutral).alias("n"))
+    keys = pair.select("p_partkey", *[F.transform(c, S.key_of).alias(c) for c in ("m", "n")])
+    return keys.select("p_partkey", (F.get("m", F.lit(0)) == F.get("m", F.lit(1))).alias("same"), (F.get("n", F.lit(0)) == F.get("n", F.lit(1))).alias("same_neutral"))
+
+
+def canonical_spellings(spark, sf):
+    """The spelling that stands for a part's molecule in the whole table, and how often it is written as here."""
+    rows = _parts(spark, sf, F.expr(SPELLINGS).alias("smi"))
+    known = dictionary.measured(rows).select("smi", "n", "form")
+    return rows.join(known, "smi").select("p_partkey", "smi", "form", "n")
+
+
+def reaction_fingerprints(spark, sf):
+    """Summed circular fingerprints of both sides of mapped reactions, reagents left out: (p_partkey, side, bit, n)."""
+    rows = reagent_split(spark, sf).select("p_partkey", F.explode(F.array(F.struct(F.lit("reactants").alias("side"), F.col("reactants").alias("text")), F.struct(F.lit("products").alias("side"), F.col("products").alias("text")))).alias("s"))
+    return S.with_summed_bits(rows.select("p_partkey", "s.side", "s.text"), "text").select("p_partkey", "side", F.explode("bits").alias("x")).select("p_partkey", "side", "x.bit", "x.n")
+
+
 def atom_map_numbers(spark, sf):
     mapped = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("[C:"), F.col("p_size").cast("string"), F.lit("][N:"), (F.col("p_partkey") % 7).cast("string"), F.lit("]C")).alias("s"))
     return mapped.select("p_partkey", F.array_join(F.transform(C.atom_maps(F.col("s")), lambda x: x.cast("string")), ",").alias("maps"))
@@ -318,5 +387,5 @@ NAMES = (
     "seeded_permutation", "doc_quota_fill", "doc_quota_meta", "level_slices", "author_first_claim", "author_doc_split", "namerxn_split", "id_doc_antijoin", "term_warnings", "time_split_sizes",
     "time_split_assign", "time_split_plain", "time_split_shortfalls", "time_set_sizes", "unknown_counts", "unreadable_filter", "cutoff_training_sets", "train_size_control", "bespoke_filtered", "bespoke_overlap_report", "bespoke_referential_check",
     "audit_pairwise_overlap", "audit_author_containment", "audit_doc_positive_control", "audit_class_overlap", "audit_keys_disjoint", "audit_jurisdiction", "audit_document_years",
-    "changed_bonds_fullouter", "atom_map_numbers", "molecule_measures", "fp_sum", "sha256_manifest", "rxn_dedup_text",
+    "changed_bonds_fullouter", "changed_bonds_text", "reagent_split", "neutral_pairs", "canonical_spellings", "reaction_fingerprints", "atom_map_numbers", "molecule_measures", "fp_sum", "sha256_manifest", "rxn_dedup_text",
 )

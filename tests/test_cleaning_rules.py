@@ -39,8 +39,13 @@ def test_reaction_tokens_and_long_days(spark):
 
 
 def test_unreadable_reactions_get_no_key(spark):
-    rows = ["Chelloworldonion>>wonderfulCocoon", R1, "CC.[O]>>CCO", "CC.O>>CCO", "C1CC>>C", "CC>O>CCO |x|"]
-    got = [r.key for r in jobs.canonical(spark.createDataFrame([(x,) for x in rows], "smiles string")).collect()]
+    rows = ["Chelloworldonion>>wonderfulCocoon", R1, "CC.[O]>>CCO", "CC.O>>CCO", "C1CC>>C", "CC>O>CCO |x|", "O.C[CH3:4]>>OCC", ">>", None, "no reaction"]
+    made = jobs.canonical(spark.createDataFrame([(x, 1) for x in rows], "smiles string, left int"))
+    assert made.columns == ["smiles", "left", "reactants", "products", "key", "first_failure"]
+    by = {r.smiles: r for r in made.collect()}
+    got = [by[x].key for x in rows]
+    assert got[6] == got[3]  # other spellings of the same molecules
+    assert got[7:] == [">>", None, None] and by[">>"].first_failure and by["no reaction"].first_failure is None
     assert got[0] is None and got[4] is None
     assert got[1].endswith("NC") and ":" not in got[1]
     assert got[2] == "CC.[O]>>CCO" and got[3] == got[5] == "CC.O>>CCO"
