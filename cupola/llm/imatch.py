@@ -1,11 +1,14 @@
 """I-Match fingerprints in DataFrame expressions only.
 
-The lexicon holds the terms whose inverse document frequency over all documents lies in a band: ln(N / df) from
-ln(1 / MOST) to ln(1 / LEAST), and df of 2 or more. A document keeps its distinct terms that are in the lexicon,
+The lexicon holds the terms whose inverse document frequency over all distinct texts lies in a band: ln(N / df) from
+ln(1 / MOST) to ln(1 / LEAST), and df of 2 or more. A text counts once: a row doesn't if another of the same text has a
+smaller id, so a group of copies can't take its terms out of the lexicon. A document keeps its distinct terms that are in the lexicon,
 sorts them, and hashes the list; it does so for the whole lexicon and for randomised subsets of it. A term's
 SHA-256 gives DRAWS numbers, and draw d's subset of rate 1/r has the terms whose d-th number is divisible by r.
 Subsets that see a few of a document's terms survive large edits, the whole lexicon tells documents apart. The
-fingerprint is the row of these hashes, six hexadecimal digits each, `------` where a subset holds no term.
+fingerprint is the row of these hashes, six hexadecimal digits each, `------` where a subset holds no term. A text none of
+whose terms is in the lexicon has the hash of all its sorted terms in the first place, so that it looks like its copies and like
+nothing else.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that hold terms of either; if no
 subset does, it is 1 for equal fingerprints.
@@ -56,16 +59,34 @@ def _subsets() -> Column:
     return F.filter(F.array(*found), lambda k: k.isNotNull())
 
 
+def counting(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose text also stands in a row of smaller id.
+
+    Only hashes and ids move. Texts that several rows have are sent to every task, counted before; beyond FEW of them
+    rows meet them by a shuffle.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    copied = stored(docs.groupBy(digest.alias("_hash")).agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "copied")
+    few = copied.count() <= FEW
+    marked = docs.withColumn("_own", digest)
+    met = marked.join(F.broadcast(copied) if few else copied, F.col("_own") == F.col("_hash"), "left")
+    return met.where(~F.coalesce(F.col(id_col) > F.col("_first"), F.lit(False))).select(*docs.columns)
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
-    """(term, subsets) of the terms in the band."""
+    """(term, subsets) of the terms in the band, by the rows of docs."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     return counts.where((F.col("df") >= 2) & (F.col("df") >= F.lit(least * n)) & (F.col("df") <= F.lit(most * n))).select("term", _subsets().alias("subsets"))
 
 
-def hashes(kept: Column) -> Column:
-    """The fingerprint of a sorted array of (term, subsets)."""
-    short = lambda text: F.substring(F.md5(text.cast("binary")), 1, WIDTH)
+def _short(text: Column) -> Column:
+    return F.substring(F.md5(text.cast("binary")), 1, WIDTH)
+
+
+def hashes(kept: Column, instead: Column) -> Column:
+    """The fingerprint of a sorted array of (term, subsets); `instead` stands first where it is empty."""
+    short = _short
     made = "array<struct<k:int,h:string>>"
 
     def step(acc: Column, p: Column) -> Column:
@@ -82,7 +103,7 @@ def hashes(kept: Column) -> Column:
         return F.aggregate(pairs, start, step, lambda acc: F.when(acc["k"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["k"].alias("k"), short(acc["text"]).alias("h"))))))
 
     row = lambda known: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(SUBSETS - 1)), lambda k: F.coalesce(F.try_element_at(known, k), F.lit(NONE))), "")
-    whole = lambda own: F.when(F.size(own) > 0, short(F.array_join(F.transform(own, lambda x: x["term"]), " "))).otherwise(NONE)
+    whole = lambda own: F.when(F.size(own) > 0, short(F.array_join(F.transform(own, lambda x: x["term"]), " "))).otherwise(instead)
     return bound(kept, lambda own: F.concat(whole(own), bound(F.map_from_entries(subsets(own)), row)))
 
 
@@ -114,12 +135,15 @@ def fingerprints(docs: DataFrame, texts: dict[str, Column], keys: list[str], car
     """
     found = F.flatten(F.array(*[F.transform(terms(F.coalesce(c, F.lit(""))), lambda t: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i, c in enumerate(texts.values())]))  # noqa: B023
     own = F.array(F.struct(F.lit(-1).alias("which"), F.col(carried).alias("term")))
+    # the hash of all terms, for texts without one in the lexicon; it travels as a short term of its own
+    every = lambda c: bound(F.array_sort(terms(F.coalesce(c, F.lit("")))), lambda t: F.when(F.size(t) > 0, _short(F.array_join(t, " "))).otherwise(NONE))
+    own = F.concat(own, *[F.array(F.struct(F.lit(-2 - i).alias("which"), every(c).alias("term"))) for i, c in enumerate(texts.values())])
     each = docs.select(*keys, F.explode(F.concat(own, found)).alias("t")).select(*keys, "t.which", "t.term")
     few = lex.count() <= FEW
-    kept = each.join(F.broadcast(lex) if few else lex, "term", "left").where("subsets is not null or which = -1")
+    kept = each.join(F.broadcast(lex) if few else lex, "term", "left").where("subsets is not null or which < 0")
     pair = F.struct("term", "subsets")
-    gathered = kept.groupBy(*keys).agg(F.max(F.when(F.col("which") == -1, F.col("term"))).alias(carried), *[F.sort_array(F.collect_list(F.when(F.col("which") == i, pair))).alias(f"_k{i}") for i in range(len(texts))])
-    return gathered.select(*keys, carried, *[hashes(F.col(f"_k{i}")).alias(name) for i, name in enumerate(texts)])
+    gathered = kept.groupBy(*keys).agg(F.max(F.when(F.col("which") == -1, F.col("term"))).alias(carried), *[F.max(F.when(F.col("which") == -2 - i, F.col("term"))).alias(f"_e{i}") for i in range(len(texts))], *[F.sort_array(F.collect_list(F.when(F.col("which") == i, pair))).alias(f"_k{i}") for i in range(len(texts))])
+    return gathered.select(*keys, carried, *[hashes(F.col(f"_k{i}"), F.col(f"_e{i}")).alias(name) for i, name in enumerate(texts)])
 
 
 def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
@@ -141,7 +165,7 @@ def with_next_text(docs: DataFrame, ranges: int) -> DataFrame:
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lex = stored(lexicon(docs), "lexicon")
+    lex = stored(lexicon(counting(docs)), "lexicon")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     rows = with_next_text(docs, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("edited", edited)
@@ -184,13 +208,17 @@ e AS (SELECT *, substr(text, 1, n - h) || substr(nxt, 1, h) AS edited FROM led),
 t AS (
   SELECT rn, 0 AS which, unnest({_TERMS.format('text')}) AS term FROM e
   UNION ALL SELECT rn, 1, unnest({_TERMS.format('edited')}) FROM e),
+firsts AS (SELECT text, min(doc_id) AS m FROM d GROUP BY text),
+own AS (SELECT rn FROM d JOIN firsts USING (text) WHERE NOT coalesce(doc_id > m, false)),
 lex AS (
-  SELECT term, [{_NUMBERS}] AS m FROM (SELECT term, count(*) AS df FROM t WHERE which = 0 GROUP BY term)
-  WHERE df >= 2 AND df >= {LEAST}::DOUBLE * (SELECT count(*) FROM d) AND df <= {MOST}::DOUBLE * (SELECT count(*) FROM d)),
+  SELECT term, [{_NUMBERS}] AS m FROM (SELECT term, count(*) AS df FROM t JOIN own USING (rn) WHERE which = 0 GROUP BY term)
+  WHERE df >= 2 AND df >= {LEAST}::DOUBLE * (SELECT count(*) FROM own) AND df <= {MOST}::DOUBLE * (SELECT count(*) FROM own)),
+every AS (SELECT rn, which, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {WIDTH}) || repeat('{NONE}', {SUBSETS - 1}) AS fp FROM t GROUP BY rn, which),
 p AS (SELECT rn, which, {_PARTS} AS fp FROM t JOIN lex USING (term) GROUP BY rn, which),
 f AS (
-  SELECT e.rn, doc_id, n, edited, coalesce(a.fp, repeat('{NONE}', {SUBSETS})) AS fp, coalesce(b.fp, repeat('{NONE}', {SUBSETS})) AS efp
-  FROM e LEFT JOIN p a ON a.rn = e.rn AND a.which = 0 LEFT JOIN p b ON b.rn = e.rn AND b.which = 1),
+  SELECT e.rn, doc_id, n, edited, coalesce(a.fp, c.fp, repeat('{NONE}', {SUBSETS})) AS fp, coalesce(b.fp, g.fp, repeat('{NONE}', {SUBSETS})) AS efp
+  FROM e LEFT JOIN p a ON a.rn = e.rn AND a.which = 0 LEFT JOIN p b ON b.rn = e.rn AND b.which = 1
+  LEFT JOIN every c ON c.rn = e.rn AND c.which = 0 LEFT JOIN every g ON g.rn = e.rn AND g.which = 1),
 g AS (SELECT *, coalesce(lead(fp) OVER (ORDER BY rn), first_value(fp) OVER (ORDER BY rn)) AS nfp FROM f)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, efp AS edited_fingerprint,
        {_like('fp', 'efp')} AS near_edited, {_like('fp', 'nfp')} AS near_next
