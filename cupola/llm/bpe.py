@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -186,31 +186,44 @@ class PrefixBpe:
         return self.edit(text, ids, len(text), len(text), more)
 
     def edit(self, text: str, ids: np.ndarray, start: int, end: int, new: str) -> np.ndarray:
-        """The ids after text[start:end] becomes new. Only the pieces near the edit are encoded again.
+        """The ids after text[start:end] becomes new. Only the text near the edit is split and encoded again.
 
-        A piece depends on the text from its own start on and on at most one character after it, so pieces that
-        end two characters or more before the edit stay; after it, the first boundary that the old and the new
-        split share, from where both texts are the same, ends the change.
+        A blank between two letters begins a piece whatever stands elsewhere; the last such one before the edit is where
+        both splits begin. After the edit, the first boundary that the old and the new split share, from where both texts
+        are the same, ends the change. The tokens' lengths in bytes tell which of the old ids stand outside.
         """
         result = text[:start] + new + text[end:]
-        shift = len(result) - len(text)
-        old = [m.span() for m in splitter().finditer(text)]
-        keep = 0
-        while keep < len(old) and old[keep][1] + 2 <= start:
-            keep += 1
-        # white space before the edit can be split anew from its first character on
-        while keep and text[old[keep - 1][0] : old[keep - 1][1]].isspace():
-            keep -= 1
-        sizes = [len(self.encode_piece(text[a:b].encode())) for a, b in old]
-        bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        begin = old[keep][0] if keep < len(old) else len(text)
-        starts = {a: i for i, (a, _) in enumerate(old) if a >= end}
-        fresh: list[int] = []
+        shift, begin = len(result) - len(text), self._boundary(text, start)
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids], dtype=np.int64)))
+        first = len(text[:begin].encode())
+        kept = ids[: np.searchsorted(ends, first)]
+        boundaries = (m.start() for m in splitter().finditer(text, begin))
+        at, fresh = next(boundaries, len(text)), []
         for m in splitter().finditer(result, begin):
-            if m.start() - shift in starts and m.start() >= start + len(new):
-                return np.concatenate((ids[: bounds[keep]], np.array(fresh, "<u4"), ids[bounds[starts[m.start() - shift]] :])).astype("<u4")
+            while at < m.start() - shift:
+                at = next(boundaries, len(text))
+            if at == m.start() - shift and at >= end and m.start() >= start + len(new):
+                return np.concatenate((kept, np.array(fresh, "<u4"), ids[np.searchsorted(ends, first + len(text[begin:at].encode())) :])).astype("<u4")
             fresh += self.encode_piece(m.group().encode())
-        return np.concatenate((ids[: bounds[keep]], np.array(fresh, "<u4"))).astype("<u4")
+        return np.concatenate((kept, np.array(fresh, "<u4"))).astype("<u4")
+
+    @staticmethod
+    def _boundary(text: str, start: int) -> int:
+        """The place of the last blank between two letters before `start`, 0 if there is none."""
+        far, width = start, 64
+        while far > 0:
+            near, far = far, max(0, far - width)
+            # a blank at the edge is seen with its neighbours
+            for at in range(min(near, start - 2), max(far, 1) - 1, -1):
+                if text[at] == " " and text[at - 1].isalpha() and text[at + 1].isalpha():
+                    return at
+            width *= 2
+        return 0
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """The bytes of every token."""
+        return np.array([len(b) for b in self.bytes_of], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
