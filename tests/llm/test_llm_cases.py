@@ -32,12 +32,25 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     out = registry.QUERIES[name](spark, f"{odd}/some").collect()
     if name in ("op6_urlfilter",):
         assert len(out) == 6
+    elif name == "op11_lexical":  # a row an item and document found; repeated items are one
+        assert {(r.item_id, r.rank) for r in out} == {(1, k) for k in range(1, 5)} | {(None, 1), (None, 2)} and len(out) == 6
+    elif name == "op12_filteraudit":
+        assert len(out) == 600 and {r.part for r in out} == {"src"}
     elif name != "op4_revisit":
         assert len(out) == len(ROWS)
         assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in ROWS)
     assert registry.QUERIES[name](spark, f"{odd}/none").collect() == []
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, f"{odd}/some").collect()
+    assert {r.doc_id for r in out} <= {r[0] for r in ROWS} and all(r.n_tokens > 0 for r in out)
+    assert len({r.doc_id for r in out}) == len(out)
+    assert corpus_pipeline.run(spark, f"{odd}/none").collect() == []
+
+
 def of(spark, odd, name):
     return {(r.doc_id, i): r for i, r in enumerate(registry.QUERIES[name](spark, f"{odd}/some").orderBy("doc_id").collect())}
 
