@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cupola.llm.common import table
+from cupola.llm.common import give_back, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Stored prefixes and pieces of a task before its dictionaries start anew.
@@ -246,6 +246,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, 512), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"]
                 )
+        # other work follows in this worker: its stores, some hundred MB, go back first
+        bpe.forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
