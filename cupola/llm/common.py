@@ -44,6 +44,8 @@ def give_back() -> None:
 
 #: Key ranges that quantiles bound; more are made by dividing each of them evenly.
 QUANTILES = 512
+#: Limits of a block: a row looks at the blocks' first limits, then at one block.
+BLOCK = 24
 
 
 def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Column, int]:
@@ -62,19 +64,23 @@ def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Column, int]:
     if not limits:
         return F.lit(0), 1
 
-    # binary search by halving: log2(QUANTILES) comparisons a row, all in generated code
-    def halve(lo: int, hi: int, value) -> Column:
-        if lo == hi:
-            return value(lo)
-        mid = (lo + hi) // 2
-        return F.when(c >= F.lit(limits[mid]), halve(mid + 1, hi, value)).otherwise(halve(lo, mid, value))
-
     parts = -(-n // (len(limits) + 1))
+    at = count_upto(F.array(*[F.array(*map(F.lit, limits[i : i + BLOCK])) for i in range(0, len(limits), BLOCK)]), c, F.lit(BLOCK))
     if parts == 1:
-        return halve(0, len(limits), F.lit), len(limits) + 1
+        return F.when(c.isNull(), 0).otherwise(at), len(limits) + 1
     ends = [low, *limits, high + 1]
-    inside = lambda k: F.lit(k * parts) + F.least(F.floor((c - F.lit(ends[k])).cast("double") * parts / max(1, ends[k + 1] - ends[k])).cast("int"), F.lit(parts - 1))
-    return F.when(c.isNull(), 0).otherwise(halve(0, len(limits), inside)), (len(limits) + 1) * parts
+    lows, widths = F.array(*map(F.lit, ends[:-1])), F.array(*[F.lit(max(1, b - a)) for a, b in zip(ends, ends[1:])])
+    inside = bound(at, lambda k: k * parts + F.least(F.floor((c - F.get(lows, k)).cast("double") * parts / F.get(widths, k)).cast("int"), F.lit(parts - 1)))
+    return F.when(c.isNull(), 0).otherwise(inside), (len(limits) + 1) * parts
+
+
+def count_upto(blocks: Column, value: Column, size: Column) -> Column:
+    """How many of the ascending values in `blocks` (arrays of `size`; the last may be shorter) are at most value: the block first, then the place in it.
+
+    The limits are one array in the plan, however many they are; a nest of comparisons as long would fill the driver.
+    """
+    after = F.size(F.filter(blocks, lambda b: F.get(b, F.lit(0)) <= value))
+    return bound(after, lambda k: F.when(k == 0, 0).otherwise((k - 1) * size + F.size(F.filter(F.get(blocks, k - 1), lambda x: x <= value))))
 
 
 def bound(value: Column, body) -> Column:
