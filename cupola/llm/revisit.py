@@ -7,12 +7,15 @@ with neither the reference is unverified. The status is resolved, unverified, mi
 response). Of a resolved or unverified revisit, the response's headers are updated by those headers of the revisit
 that a 304 may carry; other headers of the revisit are dropped.
 
-A popular URL may hold a third of all captures, so no window ever takes a whole URL. A URL of more captures than a
-slice is to hold is cut into time slices at its own quantiles of ts, the more the more captures it has. Inside
-(URL, slice) a window finds the last response so far; the last response of each (URL, slice) is a maximum that
-combines before the shuffle, and a second window over a URL's slices, MOST_SLICES at most, carries it on to the later
-ones. The narrow rows are written once and read by each of these steps. Bodies take no part: the result names the
-response.
+A popular URL may hold a third of all captures, and all of them may share one ts or have none, so no window ever takes a
+whole URL. A URL of more captures than a slice is to hold is cut into slices of its whole order (ts, record_id, kind, hash,
+row number), so only a slice's own captures meet, whatever they share. The limits come from captures of the URL that a hash
+chooses, about SAMPLED a slice; each of a slice's captures stands in it. Inside (URL, slice) a window finds the last response so far;
+the last response of each (URL, slice) is a maximum that combines before the shuffle, and a second window over a URL's
+slices carries it on to the later ones. A slice holds an eighth of an even share of a task or more, so slices and limits
+are at most eight a task and one a popular URL, however large the table is. The narrow rows are written once and
+read by each of these steps; their row numbers are written with them, so the order is the same whenever a task runs again.
+Bodies take no part: the result names the response.
 
 A null or empty URL has no canonical form and its revisits are orphans. A null ts comes before all others, a null
 record_id before others of its ts; captures alike in both are ordered by kind (responses first), then by a hash of
@@ -24,10 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cupola.llm.common import stored, table
+from cupola.llm.common import count_upto, stored, table
 
-#: A URL's slice holds at least this many captures, and an eighth of an even share of a task where that is more; a URL has at most MOST_SLICES.
-LEAST_SLICE, MOST_SLICES = 2_000, 1_024
+#: A URL's slice is to hold at least this many captures, and an eighth of an even share of a task where that is more.
+LEAST_SLICE = 2_000
+#: Captures a slice, about, from which limits are taken.
+SAMPLED = 16
 #: Slice limits that are broadcast.
 FEW = 1_000_000
 #: Headers that a 304 response updates: fixed values.
@@ -58,35 +63,44 @@ def merged_headers(full: Column, revisit: Column, permitted: tuple[str, ...] = P
     return F.map_concat(F.map_filter(F.coalesce(full, none), lambda k, v: ~F.array_contains(names, F.lower(k))), new)
 
 
+#: The whole order of a URL's captures. Nulls come first, responses before revisits; the row number tells repeated rows apart.
+ORDER = ("ts", "record_id", "kind", "mark", "row")
+
+
 def _sliced(rows: DataFrame, slices: int | None) -> DataFrame:
-    """rows (key, ts, ...) with the slice of their key that they fall in; keys of few captures have one."""
+    """rows (key, ORDER, ...) with the slice of their key that they fall in; keys of few captures have one. slices: of every key."""
     counts = stored(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")), "urlcounts")
     total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = max(LEAST_SLICE, (total.n or 0) // (8 * tasks))
-    n = slices or min(MOST_SLICES, -(-(total.most or 0) // size))
-    if n <= 1:
+    if slices == 1 or (slices is None and (total.most or 0) <= size):
         return rows.withColumn("slice", F.lit(0))
-    hot = counts.where(F.col("n") > (1 if slices else size)).select("key")
-    at = F.array(*[F.lit(i / n) for i in range(1, n)])
-    limits = rows.join(hot, "key").groupBy("key").agg(F.percentile_approx("ts", at, F.lit(max(1000, 4 * n))).alias("limits"))
-    limits = stored(limits, "urlslices")
-    # at most one row a hot key: total / size of them
-    few = limits.count() * n <= FEW
-    return rows.join(F.broadcast(limits) if few else limits, "key", "left").withColumn("slice", F.when(F.col("ts").isNull() | F.col("limits").isNull(), 0).otherwise(F.size(F.filter("limits", lambda x: x < F.col("ts"))))).drop("limits")
+    wanted = F.lit(slices) if slices else F.ceil(F.col("n") / size).cast("int")
+    hot = counts.where(F.col("n") > (1 if slices else size)).select("key", "n", wanted.alias("wanted"))
+    few = total.n // size <= FEW
+    place = F.struct(*ORDER)
+    drawn = rows.select("key", *ORDER).join(F.broadcast(hot) if few and not slices else hot, "key")
+    drawn = drawn.where(F.pmod(F.xxhash64("row", "record_id", "ts"), F.lit(1 << 30)) < F.lit(float(SAMPLED << 30)) * F.col("wanted") / F.col("n"))
+    limits = drawn.groupBy("key", "wanted").agg(F.sort_array(F.collect_list(place)).alias("s"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("wanted") - 1), lambda i: F.get("s", F.floor(i * F.size("s") / F.col("wanted")).cast("int")))
+    limits = limits.where("wanted > 1").select("key", F.ceil(F.sqrt("wanted")).cast("int").alias("block"), picked.alias("s"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / F.col("block")).cast("int")), lambda i: F.slice("s", i * F.col("block") + 1, F.col("block")))
+    limits = stored(limits.select("key", "block", blocks.alias("limits")), "urlslices")
+    met = rows.join(F.broadcast(limits) if few and not slices else limits, "key", "left")
+    return met.withColumn("slice", F.when(F.col("limits").isNull(), 0).otherwise(count_upto(F.col("limits"), place, F.col("block")))).drop("limits", "block")
 
 
 def resolve(captures: DataFrame, slices: int | None = None) -> DataFrame:
     """(record_id, canonical_url, status, refers_to, digest, headers) for every revisit row. slices: of every URL; None makes them from the counts."""
     rows = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical(F.col("url")).alias("key"), "ts", "kind", "etag", "last_modified", "digest", "headers")
     ordered = F.array_sort(F.map_entries("headers"))
-    rows = stored(rows.withColumn("mark", F.xxhash64("etag", "last_modified", "digest", ordered)), "captures")
+    rows = stored(rows.withColumn("mark", F.xxhash64("etag", "last_modified", "digest", ordered)).withColumn("row", F.monotonically_increasing_id()), "captures")
     rows = _sliced(rows, slices)
     known = rows.where("key is not null")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "digest", "headers"))
-    inside = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("ts"), F.asc_nulls_first("record_id"), F.asc("kind"), F.asc("mark"))
+    inside = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("ts"), F.asc_nulls_first("record_id"), F.asc("kind"), F.asc("mark"), F.asc("row"))
     near = known.withColumn("near", F.last(full, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).where("kind = 'revisit'")
-    place = F.struct(F.col("ts").isNotNull(), "ts", F.col("record_id").isNotNull(), "record_id", "mark")
+    place = F.struct(F.col("ts").isNotNull(), "ts", F.col("record_id").isNotNull(), "record_id", "mark", "row")
     lasts = known.groupBy("key", "slice").agg(F.max_by(full, F.when(F.col("kind") == "response", place)).alias("own"))
     across = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     far = lasts.withColumn("far", F.last("own", ignorenulls=True).over(across)).where("far is not null").select("key", "slice", "far")

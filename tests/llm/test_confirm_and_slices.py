@@ -30,3 +30,18 @@ def test_slices_and_ties_change_nothing(spark):
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
     out = [sorted(str(r) for r in revisit.resolve(df.repartition(k), s).collect()) for k, s in ((1, 1), (3, 1), (5, 7), (2, 40), (4, None))]
     assert all(x == out[0] for x in out)
+
+
+def test_a_popular_url_of_one_moment_is_cut_as_well(spark, monkeypatch):
+    monkeypatch.setattr(revisit, "LEAST_SLICE", 100)
+    kind = F.when(F.col("id") % 10 == 0, "response").otherwise("revisit")
+    # a third of one moment, a third of none, and a third that is one row over and over
+    rows = spark.range(9_000).select(
+        F.when(F.col("id") % 3 < 2, F.col("id")).otherwise(0).alias("record_id"), F.concat(F.lit("http://h.org/"), F.col("id") % 3).alias("url"), F.when(F.col("id") % 3 == 0, F.lit(5)).cast("long").alias("ts"),
+        F.when(F.col("id") % 3 < 2, kind).otherwise("revisit").alias("kind"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit("d").alias("digest"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"),
+    )
+    keyed = rows.withColumns({"key": revisit.canonical(F.col("url")), "mark": F.lit(1).cast("long"), "row": F.col("record_id") * 0 + F.monotonically_increasing_id()})
+    sizes = [r["count"] for r in revisit._sliced(keyed, None).groupBy("key", "slice").count().collect()]
+    assert sum(sizes) == 9_000 and len(sizes) > 20 and max(sizes) < 1_200
+    one, many = (sorted(map(str, revisit.resolve(rows, s).collect())) for s in (1, None))
+    assert one == many and len(one) == rows.where("kind = 'revisit'").count()
