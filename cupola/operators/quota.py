@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cupola.functions.columns import author_name, order_key
 from cupola.operators.ordering import ranked, running
+from cupola.sources.tables import written
 
 
 class QuotaError(RuntimeError):
@@ -49,8 +49,8 @@ def levels_of(spec: list[list[tuple[str, int]]]) -> list[Level]:
 def document_order(rows: DataFrame, doc: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, doc, cnt, cum): documents with their row counts and the running count in seeded order."""
     docs = rows.groupBy(*by, doc).agg(F.count("*").alias("cnt"))
-    # every level reads this table again: kept, and made anew from its plan where an executor is lost
-    return running(docs.withColumn("_h", order_key(F.col(doc), seed, "doc")), "_h", doc, F.col("cnt"), "cum", by).drop("_h").persist(StorageLevel.MEMORY_AND_DISK)
+    # every level reads this table again: it is written, so nothing stays in the executors and a lost one loses nothing
+    return written(running(docs.withColumn("_h", order_key(F.col(doc), seed, "doc")), "_h", doc, F.col("cnt"), "cum", by).drop("_h"), "documents")
 
 
 def fill(docs: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

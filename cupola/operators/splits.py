@@ -6,13 +6,13 @@ it with a `split` column; rows of no set are left out.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cupola.functions.columns import author_name, core_title, in_class_set, matches_all, order_key
 from cupola.operators.ordering import ranked, running
 from cupola.operators.quota import QuotaError, assign, document_order, fill, levels_of, split_documents
+from cupola.sources.tables import written
 
 
 # --- by author and document -------------------------------------------------------------------------------------
@@ -34,13 +34,14 @@ def claims(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def author_levels(rows: DataFrame, spec: list, seed: int, overbuffer: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """((doc, level), [(level, last author rank)]): a level takes authors in order until their claimed documents hold its target plus the overbuffer."""
-    # tables of authors and documents are kept, as each level reads them again; rows are not
-    pairs = author_documents(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    claimed = claims(pairs, author_ranks(pairs, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    """((doc, author_level), [(level, last author rank)]): a level takes authors in order until their claimed documents hold its target plus the overbuffer."""
+    # tables of authors and documents are written, as each level reads them again; rows are not
+    pairs = written(author_documents(rows), "authordocuments")
+    claimed = written(claims(pairs, author_ranks(pairs, seed)), "claims")
     sizes = rows.groupBy("doc").agg(F.count("*").alias("cnt"))
     per = claimed.join(sizes, "doc").groupBy("author_rank").agg(F.sum("cnt").alias("cnt"))
-    cum = running(per, "author_rank", "author_rank", F.col("cnt"), "cum", part=F.floor(F.col("author_rank") / 100_000)).persist(StorageLevel.MEMORY_AND_DISK)
+    cum = running(per, "author_rank", "author_rank", F.col("cnt"), "cum", part=F.floor(F.col("author_rank") / 100_000))
+    cum = written(cum, "authors")
     base, ends = 0, []
     for level in spec:
         target = sum(n for inner in level for _, n in inner) + overbuffer
@@ -53,23 +54,32 @@ def author_levels(rows: DataFrame, spec: list, seed: int, overbuffer: int) -> tu
     return claimed.join(F.broadcast(limits), (F.col("author_rank") > F.col("after")) & (F.col("author_rank") <= F.col("upto"))).select("doc", "author_level"), ends
 
 
-def split_author_documents(rows: DataFrame, spec: list, seed: int, overbuffer: int = 0, leeway: int = 0, jurisdiction: str | None = None) -> DataFrame:
-    """Nested split: author levels by first claim, each split further by documents. spec: author levels of document levels of (name, size)."""
+def split_authors(rows: DataFrame, spec: list, seed: int, overbuffer: int = 0, leeway: int = 0, jurisdiction: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Nested split: author levels by first claim, each split further by documents; and of each author level its number and `n_authors_used`, the authors it and those before it used up.
+
+    spec: author levels of document levels of (name, size). Only (key, doc, author_level) pass through the levels; the rows
+    meet what was assigned in one join. A key stands in one row, as dedup leaves it.
+    """
     levels_of([sum(([*inner] for inner in level), []) for level in spec])  # names and sizes are sound
     known = rows.withColumn("doc", core_title(F.col("title"))).where(F.col("doc").isNotNull() & (F.size("authors") > 0))
-    levels, _ = author_levels(known, spec, seed, overbuffer)
-    levels = levels.persist(StorageLevel.MEMORY_AND_DISK)
-    pools, out = known.join(levels, "doc"), None
+    levels, ends = author_levels(known.select("key", "doc", "authors"), spec, seed, overbuffer)
+    pools, out = written(known.select("key", "doc").join(levels, "doc"), "authorpools"), None
     for k, level in enumerate(spec):
-        one = split_documents(pools.where(F.col("author_level") == k), "key", "doc", level, seed + k, leeway, jurisdiction).withColumn("author_level", F.lit(k))
+        one = split_documents(pools.where(F.col("author_level") == k), "key", "doc", level, seed + k, leeway, jurisdiction)
         out = one if out is None else out.unionByName(one)
-    return out
+    assigned = out.select("key", "doc", "author_level", "level", "split")
+    return known.join(assigned, ["key", "doc"]), [{"author_level": k, "n_authors_used": end} for k, end in ends]
 
 
-def author_document_sets(rows: DataFrame, od_author: int, od_doc: int, train: int, id_test: int, valid: int, seed: int, finetune: int = 0, overbuffer: int = 200, leeway: int = 0, jurisdiction: str | None = None) -> DataFrame:
-    """The usual shape: authors held out first; then held-out documents with the fine-tuning set; then train, id_test and valid."""
+def split_author_documents(rows: DataFrame, spec: list, seed: int, overbuffer: int = 0, leeway: int = 0, jurisdiction: str | None = None) -> DataFrame:
+    """The rows of split_authors."""
+    return split_authors(rows, spec, seed, overbuffer, leeway, jurisdiction)[0]
+
+
+def author_document_sets(rows: DataFrame, od_author: int, od_doc: int, train: int, id_test: int, valid: int, seed: int, finetune: int = 0, overbuffer: int = 200, leeway: int = 0, jurisdiction: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """The usual shape: authors held out first; then held-out documents with the fine-tuning set; then train, id_test and valid. With the authors used, as split_authors."""
     spec = [[[("author_od_test", od_author)]], [[("doc_od_test", od_doc), ("ft", finetune)], [("train", train), ("id_test", id_test), ("valid", valid)]]]
-    return split_author_documents(rows, spec, seed, overbuffer, leeway, jurisdiction)
+    return split_authors(rows, spec, seed, overbuffer, leeway, jurisdiction)
 
 
 # --- by class ---------------------------------------------------------------------------------------------------
@@ -208,6 +218,15 @@ def cutoff_sets(split: DataFrame, cutoffs: list[int], most_train: int, most_vali
     return ranked(near(share), "_h", "key", "_rn", ("cutoff", "split")).where("_rn <= _most").select("cutoff", *split.columns)
 
 
+def cutoff_amounts(split: DataFrame, cutoffs: list[int], most_train: int, most_valid: int) -> DataFrame:
+    """(cutoff, split, possible, selected, excluded): training and validation rows of all years up to each cutoff, and how many of them its sets leave out."""
+    marks = split.sparkSession.createDataFrame([(int(c), s, int(m)) for c in cutoffs for s, m in (("train", most_train), ("valid", most_valid))], "cutoff int, split string, most long")
+    counts = split.groupBy("year", "split").agg(F.count("*").alias("n"))  # one row a year and set
+    met = marks.alias("m").join(counts.alias("c"), (F.col("m.split") == F.col("c.split")) & (F.col("c.year") <= F.col("m.cutoff")), "left")
+    summed = met.groupBy("cutoff", "m.split", "most").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("possible"))
+    return summed.select("cutoff", "split", "possible", F.least("possible", "most").alias("selected"), F.greatest(F.col("possible") - F.col("most"), F.lit(0)).cast("long").alias("excluded"))
+
+
 # --- bespoke ----------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cupola.functions import columns as C
 from cupola.functions.molecules import strip_isotopes, strip_maps
-from cupola.operators import audits, checks, dedup, dictionary, splits
+from cupola.operators import audits, checks, dedup, dictionary, quota, splits
 from cupola.plans.configs import BespokeParams, ClassSpec, SplitParams, TimeParams, class_specs
 from cupola.sources import export, raw
 from cupola.sources.tables import written
@@ -111,12 +111,21 @@ def _disjoint(rows: DataFrame, by: tuple[str, ...] = ()) -> None:
         raise ValueError("a reaction stands in a split twice or in two splits")
 
 
-SplitFunction = Callable[[DataFrame, SplitParams], DataFrame]
+#: The split rows, alone or with what the manifest is to say of them.
+SplitFunction = Callable[[DataFrame, SplitParams], DataFrame | tuple[DataFrame, dict]]
 
 
 def run_split(spark: SparkSession, params: SplitParams, out: str, split: SplitFunction) -> dict:
     """A split function applied to the clean table, its sets written to out."""
-    return _publish(spark, split(spark.read.parquet(params.clean_data_location), params), out, asdict(params), params.random_seed)
+    rows = spark.read.parquet(params.clean_data_location)
+    made = split(rows, params)
+    found, meta = made if isinstance(made, tuple) else (made, {})
+    return _publish(spark, found, out, asdict(params), params.random_seed, meta=_amounts(rows) | meta)
+
+
+def _amounts(rows: DataFrame) -> dict:
+    """Counts of the clean table for the manifest: rows, unknown titles and authors, documents and authors in all."""
+    return {"amounts": quota.unknown_counts(rows.withColumn("doc", C.core_title(F.col("title")))).first().asDict()}
 
 
 def class_split(spec: ClassSpec, jurisdiction: str | None = "US") -> SplitFunction:
@@ -127,8 +136,9 @@ def class_split(spec: ClassSpec, jurisdiction: str | None = "US") -> SplitFuncti
 
 
 def author_document_split(jurisdiction: str | None = "US", overbuffer: int = 200) -> SplitFunction:
-    def split(rows: DataFrame, p: SplitParams) -> DataFrame:
-        return splits.author_document_sets(rows, p.od_test_amount_authors, p.od_test_amount_docs, p.train_amount, p.id_test_amount, p.valid_amount, p.random_seed, p.finetune_amount, overbuffer, jurisdiction=jurisdiction)
+    def split(rows: DataFrame, p: SplitParams) -> tuple[DataFrame, dict]:
+        found, used = splits.author_document_sets(rows, p.od_test_amount_authors, p.od_test_amount_docs, p.train_amount, p.id_test_amount, p.valid_amount, p.random_seed, p.finetune_amount, overbuffer, jurisdiction=jurisdiction)
+        return found, {"authors_used": used}
 
     return split
 
@@ -136,10 +146,11 @@ def author_document_split(jurisdiction: str | None = "US", overbuffer: int = 200
 def run_class_specs(spark: SparkSession, params: SplitParams, folder: str, out: str, jurisdiction: str | None = "US") -> dict[str, dict]:
     """One class split for every specification file of a folder, each below out by its name, with the classes whose definitions hold its terms in the manifest and the log."""
     rows, made = spark.read.parquet(params.clean_data_location), {}
+    amounts = _amounts(rows)
     for spec in class_specs(folder):
         warned = term_notes(rows, spec.terms_to_check, spec.excluded_name_rxns)
         split = class_split(spec, jurisdiction)(rows, params)
-        made[spec.name] = _publish(spark, split, f"{out}/{spec.name}", asdict(params) | {"spec": asdict(spec)}, params.random_seed, meta={"term_warnings": warned})
+        made[spec.name] = _publish(spark, split, f"{out}/{spec.name}", asdict(params) | {"spec": asdict(spec)}, params.random_seed, meta=amounts | {"term_warnings": warned})
     return made
 
 
@@ -182,8 +193,9 @@ def run_time_split(spark: SparkSession, p: TimeParams, out: str) -> dict[str, di
     LOG.info("%s: %s", out, lost)
     most = splits.controlled_size(split, p.years_to_break, p.max_training_size, p.control_for_training_size)
     tests = _publish(spark, split.where("split = 'test'"), f"{out}/test_years", asdict(p), p.random_seed, ("year",))
+    amounts = [r.asDict() for r in splits.cutoff_amounts(split, p.years_to_break, most, p.max_val_size).orderBy("cutoff", "split").collect()]
     train = splits.cutoff_sets(split, p.years_to_break, most, p.max_val_size, p.random_seed)
-    cutoffs = _publish(spark, train, f"{out}/train_val_splits", asdict(p), p.random_seed, ("cutoff", "split"), {"max_train": most, "counts": lost})
+    cutoffs = _publish(spark, train, f"{out}/train_val_splits", asdict(p), p.random_seed, ("cutoff", "split"), {"max_train": most, "counts": lost, "amounts": amounts})
     _disjoint(train, ("cutoff",))
     return {"test": tests, "cutoffs": cutoffs}
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cupola.plans import configs, jobs
 from cupola.sources import export, raw
-from cupola.streaming import fold
 
 RXN = "CCCCCC(=O)O.CO>>CCCCCC(=O)OC"
 
@@ -71,7 +70,9 @@ def test_class_split_job(spark, cleaned, tmp_path):
     assert splits_keys(back) <= splits_keys(spark.read.parquet(f"{cleaned[0]}/clean"))
     hashes = export.file_hashes(spark, str(tmp_path / "o/sets")).collect()
     assert all(len(h.sha256) == 64 for h in hashes)
-    assert json.loads(spark.read.text(str(tmp_path / "o/manifest")).first()[0])["params"]["name"] == "t"
+    manifest = json.loads(spark.read.text(str(tmp_path / "o/manifest")).first()[0])
+    assert manifest["params"]["name"] == "t"
+    assert manifest["amounts"] == {"n_rows": 80, "unknown_titles": 0, "unknown_authors": 0, "n_docs": 12, "n_authors": 7}
 
 
 def splits_keys(df):
@@ -84,6 +85,8 @@ def test_time_and_bespoke_jobs(spark, cleaned, tmp_path):
     sizes = {(s["cutoff"], s["split"]): int(s["n"]) for s in found["cutoffs"]["sets"]}
     assert sizes[("2002", "train")] <= 12
     assert {int(s["n"]) for s in found["test"]["sets"]} == {3}
+    for a in found["cutoffs"]["amounts"]:
+        assert a["selected"] == sizes[(str(a["cutoff"]), a["split"])] == a["possible"] - a["excluded"]
     train = str(tmp_path / "time/train_val_splits/sets/cutoff=2000/split=train")
     b = configs.BespokeParams("b", ["1"], f"{cleaned[0]}/clean", reactions_jsonl_datasets_to_exclude=[train])
     got = jobs.run_bespoke(spark, b, str(tmp_path / "b"))
@@ -98,12 +101,3 @@ def test_configs(tmp_path):
     assert configs.dataset_paths(str(tmp_path / "c.ini")) == {"root": "/x"}
     with pytest.raises(ValueError, match="valid_proportion"):
         configs.TimeParams("", "", 0, [], 1, 1, 1, valid_proportion=2.0)
-
-
-def test_streaming_fold(spark, tmp_path):
-    rows = [("k", 0, None, 1990), ("k", 1, "a", 2000), ("j", 2, "a", None), ("j", 3, None, None), ("k", 4, "b", 1995)]
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], fold.STATE).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(fold.STATE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    fold.fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination(120)
-    assert sorted((r.key, r.ord) for r in spark.read.parquet(str(tmp_path / "out/v4")).collect()) == [("j", 3), ("k", 4)]

@@ -128,6 +128,12 @@ def test_author_split_keeps_claimants_apart(spark):
     assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"od": 60, "doc_od": 40, "train": 120, "valid": 30}
     assert audits.shared(out, "doc", "author_level").count() == 0
     assert audits.repeats(out, "key").count() == 0
+    _, used = splits.split_authors(rows, spec, 3, overbuffer=10)
+    assert [u["author_level"] for u in used] == [0, 1] and 0 < used[0]["n_authors_used"] < used[1]["n_authors_used"] <= 26
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    splits.split_author_documents(rows, spec, 3, overbuffer=10).count()
+    assert held() == before  # the splits keep nothing in the executors
     with pytest.raises(quota.QuotaError, match="authors run out"):
         splits.split_author_documents(rows, [[[("a", 10_000)]]], 3)
 
