@@ -64,6 +64,12 @@ def multiset_add(a: Column, b: Column) -> Column:
     return multiset(F.concat(expand(a), expand(b)))
 
 
+def multiset_minus(a: Column, b: Column) -> Column:
+    """What is left of a when b is taken away, each item as often as it counts more in a than in b (the positive part). NULL if either is."""
+    left = lambda held: F.filter(F.transform(a, lambda x: F.struct(x["smi"].alias("smi"), (x["n"] - F.coalesce(F.try_element_at(held, x["smi"]), F.lit(0))).alias("n"))), lambda x: x["n"] > 0)
+    return F.when(b.isNotNull(), bound(F.map_from_entries(b), left))
+
+
 def expand(ms: Column) -> Column:
     """The items of a multiset, each as often as it counts, in order."""
     return F.flatten(F.transform(ms, lambda x: F.array_repeat(x["smi"], x["n"])))

@@ -46,9 +46,9 @@ def levels_of(spec: list[list[tuple[str, int]]]) -> list[Level]:
     return levels
 
 
-def document_order(rows: DataFrame, doc: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, doc, cnt, cum): documents with their row counts and the running count in seeded order."""
-    docs = rows.groupBy(*by, doc).agg(F.count("*").alias("cnt"))
+def document_order(rows: DataFrame, doc: str, seed: int, by: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
+    """(by, doc, cnt, cum): documents with their row counts and the running count in seeded order. Where the counts (by, doc, cnt) are known already, rows aren't read."""
+    docs = rows.groupBy(*by, doc).agg(F.count("*").alias("cnt")) if counts is None else counts.select(*by, doc, "cnt")
     # every level reads this table again: it is written, so nothing stays in the executors and a lost one loses nothing
     return written(running(docs.withColumn("_h", order_key(F.col(doc), seed, "doc")), "_h", doc, F.col("cnt"), "cum", by).drop("_h"), "documents")
 
@@ -92,11 +92,11 @@ def assign(rows: DataFrame, doc: str, key: str, docs: DataFrame, limits: DataFra
     return shuffled.join(F.broadcast(sets), cut).select(*[shuffled[c] for c in rows.columns], shuffled["level"], "split")
 
 
-def split_documents(rows: DataFrame, key: str, doc: str, spec: list[list[tuple[str, int]]], seed: int, leeway: int = 0, jurisdiction: str | None = None) -> DataFrame:
-    """rows that belong to a set, with level and split. Raises QuotaError before any row is assigned if a level falls short by more than the leeway, if there is no document, or if documents are not all of the jurisdiction (their first two characters)."""
+def split_documents(rows: DataFrame, key: str, doc: str, spec: list[list[tuple[str, int]]], seed: int, leeway: int = 0, jurisdiction: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """rows that belong to a set, with level and split. With counts (doc, cnt) only these documents are split, and rows of others belong to no set. Raises QuotaError before any row is assigned if a level falls short by more than the leeway, if there is no document, or if documents are not all of the jurisdiction (their first two characters)."""
     spark, levels = rows.sparkSession, levels_of(spec)
     titled = rows.where(F.col(doc).isNotNull())
-    docs = document_order(titled, doc, seed)
+    docs = document_order(titled, doc, seed, counts=counts)
     if jurisdiction:
         found = [r[0] for r in docs.select(F.substring(doc, 1, 2)).distinct().limit(2).collect()]
         if found != [jurisdiction]:

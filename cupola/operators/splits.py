@@ -94,10 +94,14 @@ def term_warnings(rows: DataFrame, terms: list[list[str]]) -> DataFrame:
     return out if out is not None else rows.select("name_rxn_def", "name_rxn", F.lit("").alias("term_group")).limit(0)
 
 
+def classed(rows: DataFrame) -> DataFrame:
+    """Rows whose class is known and recognised, with their doc."""
+    return rows.where(F.col("name_rxn").isNotNull() & (F.col("name_rxn") != "0.0")).withColumn("doc", core_title(F.col("title")))
+
+
 def class_pools(rows: DataFrame, codes: list[str]) -> tuple[DataFrame, DataFrame]:
     """(out-of-distribution rows, other rows) among those whose class is known and recognised."""
-    known = rows.where(F.col("name_rxn").isNotNull() & (F.col("name_rxn") != "0.0")).withColumn("doc", core_title(F.col("title")))
-    inside = in_class_set(F.col("name_rxn"), codes)
+    known, inside = classed(rows), in_class_set(F.col("name_rxn"), codes)
     return known.where(inside), known.where(~inside)
 
 
@@ -107,22 +111,31 @@ def without_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def split_classes(rows: DataFrame, codes: list[str], valid: int, id_test: int, train_limit: int, od_test: int, finetune: int, seed: int, exclude_all_docs: bool = True, leeway: int = 200, jurisdiction: str | None = None) -> DataFrame:
-    """Sets ft and od_test from the classes, valid, id_test and train from all others, no document in both."""
+    """Sets ft and od_test from the classes, valid, id_test and train from all others, no document in both.
+
+    Rows are read once to count every document's rows in the classes and outside, then once a side to assign them. No
+    row meets an anti-join: which documents are free follows from the counts, and a side's rows meet its documents only.
+    """
     od, rest = class_pools(rows, codes)
-    n = od.where("doc is not null").count()
-    chosen = None
-    if od.limit(1).count():
-        spec = [[("ft", finetune)], [("od_test", min(od_test, n - finetune))]]
-        if n < finetune:
-            raise QuotaError(f"{n} rows can't fill {finetune} of fine-tuning")
-        chosen = split_documents(od, "key", "doc", spec, seed, leeway, jurisdiction)
-    used = od if exclude_all_docs or chosen is None else chosen
-    free = without_documents(rest, used)
-    left = free.count() - valid - id_test
+    inside = in_class_set(F.col("name_rxn"), codes)
+    docs = written(classed(rows).groupBy("doc").agg(F.count_if(inside).alias("n_od"), F.count_if(~inside).alias("n_rest")), "classdocuments")
+    every, titled = docs.agg(F.coalesce(F.sum("n_od"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc").isNotNull(), F.col("n_od"))), F.lit(0))).first()
+    docs, chosen = docs.where("doc is not null"), None
+    if every:
+        if titled < finetune:
+            raise QuotaError(f"{titled} rows can't fill {finetune} of fine-tuning")
+        spec = [[("ft", finetune)], [("od_test", min(od_test, titled - finetune))]]
+        chosen = split_documents(od, "key", "doc", spec, seed, leeway, jurisdiction, docs.where("n_od > 0").select("doc", F.col("n_od").alias("cnt")))
+    free = docs.where("n_rest > 0").select("doc", "n_od", F.col("n_rest").alias("cnt"))
+    if exclude_all_docs or chosen is None:
+        free = free.where("n_od = 0")
+    else:
+        free = written(free.join(chosen.select("doc").distinct(), "doc", "left_anti"), "freedocuments")
+    left = (free.agg(F.sum("cnt")).first()[0] or 0) - valid - id_test
     if left < 0:
         raise QuotaError(f"valid and id_test want {-left} rows more than there are")
     spec = [[("valid", valid)], [("id_test", id_test)], [("train", min(train_limit, left))]]
-    other = split_documents(free, "key", "doc", spec, seed + 1, leeway, jurisdiction)
+    other = split_documents(rest, "key", "doc", spec, seed + 1, leeway, jurisdiction, free)
     return other if chosen is None else chosen.unionByName(other)
 
 

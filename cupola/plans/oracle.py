@@ -136,6 +136,7 @@ SELECT o_orderkey, CASE WHEN length(d) >= 4 THEN CAST(CAST(d[1:4] AS INTEGER) AS
     "cast_unknown": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (2, 3) THEN CAST(o_custkey AS VARCHAR) END AS v FROM orders",
     "multiset_key": f"{_SIDES} SELECT rid, {_KEY} AS key FROM sides",
     "multiset_expand": f"{_SIDES} SELECT rid, smi, CAST(count(*) AS INTEGER) AS n FROM items WHERE lft GROUP BY rid, smi",
+    "multiset_rest": f"{_SIDES} SELECT rid, smi, CAST(sum(CASE WHEN lft THEN 1 ELSE -1 END) AS INTEGER) AS n FROM items GROUP BY rid, smi HAVING sum(CASE WHEN lft THEN 1 ELSE -1 END) > 0",
     "jsonl_export": f"""{_SIDES}, {_EXPORT_ITEMS} SELECT rid, '{{"translation":{{"reactants":"' || er || '","products":"' || ep || '"}}}}' AS line FROM ex""",
     "jsonl_roundtrip": f"{_SIDES} SELECT rid, {_KEY} AS back, true AS same FROM sides",
     "tokenize_count": f"""WITH s AS (SELECT 'p' || p_partkey AS id, {_MOL} AS smiles FROM part UNION ALL SELECT 'd' || doc_id, text FROM documents),

@@ -66,6 +66,10 @@ def multiset_expand(spark, sf):
     return k.select("rid", F.explode("reactants").alias("m")).select("rid", "m.smi", "m.n")
 
 
+def multiset_rest(spark, sf):
+    return keyed(spark, sf).select("rid", F.explode(C.multiset_minus(F.col("reactants"), F.col("products"))).alias("m")).select("rid", "m.smi", "m.n")
+
+
 def jsonl_export(spark, sf):
     k = keyed(spark, sf)
     return k.select("rid", C.to_jsonl(F.col("reactants"), F.col("products"), F.col("key"), SEED).alias("line"))
@@ -382,7 +386,7 @@ def rxn_dedup_text(spark, sf):
 
 
 NAMES = (
-    "hier_class_filter", "class_counts_by_split", "core_title", "date_parts", "json_extract_default", "cast_unknown", "multiset_key", "multiset_expand", "jsonl_export", "jsonl_roundtrip",
+    "hier_class_filter", "class_counts_by_split", "core_title", "date_parts", "json_extract_default", "cast_unknown", "multiset_key", "multiset_expand", "multiset_rest", "jsonl_export", "jsonl_roundtrip",
     "tokenize_count", "token_limit_filter", "first_failure_counts", "first_failure_detail", "dedup_displacement", "dup_count", "year_histogram", "provenance_histogram", "seeded_topk",
     "seeded_permutation", "doc_quota_fill", "doc_quota_meta", "level_slices", "author_first_claim", "author_doc_split", "namerxn_split", "id_doc_antijoin", "term_warnings", "time_split_sizes",
     "time_split_assign", "time_split_plain", "time_split_shortfalls", "time_set_sizes", "unknown_counts", "unreadable_filter", "cutoff_training_sets", "train_size_control", "bespoke_filtered", "bespoke_overlap_report", "bespoke_referential_check",

@@ -56,6 +56,21 @@ def test_multisets_match_counters(spark):
         assert {m.smi: m.n for m in r.d} == want + want
 
 
+def test_multisets_less_others_and_repeats(spark):
+    rnd = random.Random(5)
+    pick = lambda: [rnd.choice(["C", "CC", "", "Cl", "é"]) for _ in range(rnd.randint(0, 9))]
+    cases = [(i, pick(), pick()) for i in range(60)] + [(60, ["C"], None), (61, None, ["C"])]
+    ms = lambda c: C.multiset(F.col(c))
+    df = spark.createDataFrame(cases, "i int, x array<string>, y array<string>").select("i", C.multiset_minus(ms("x"), ms("y")).alias("d"), C.has_repeats(C.expand(ms("x"))).alias("r"))
+    for r, (_, x, y) in zip(sorted(df.collect()), cases, strict=True):
+        if x is None or y is None:
+            assert r.d is None
+            continue
+        one, other = Counter(v for v in x if v), Counter(v for v in y if v)
+        assert [(m.smi, m.n) for m in r.d] == sorted((one - other).items())
+        assert r.r == any(n > 1 for n in one.values())
+
+
 def test_jsonl_round_trip(spark):
     text = "C1COCCO1.C[C@H](N[S@](=O)C(C)(C)C)c1cc2cc(Cl)ccc2nc1Cl.Cl.Cl>>C[C@H](N)c1cc2cc(Cl)ccc2[nH]c1=O.Cl.Cl"
     df = spark.createDataFrame([(text,)], "x string").select(F.split("x", ">>").alias("s")).select(C.side(F.col("s")[0]).alias("r"), C.side(F.col("s")[1]).alias("p"))

@@ -148,6 +148,20 @@ def test_class_split_shares_no_document_or_class(spark):
     assert {r.split for r in none.select("split").distinct().collect()} == {"valid", "id_test", "train"}
 
 
+def test_class_split_keeps_repeated_rows_and_only_drawn_documents(spark):
+    rows = reactions(spark)
+    twice = rows.unionByName(rows.where("year = 1995"))
+    out = splits.split_classes(twice, ["2"], 5, 5, 40, 30, 5, seed=2, exclude_all_docs=False)
+    got = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert got == {"ft": 5, "od_test": 30, "valid": 5, "id_test": 5, "train": 40}
+    side = F.when(F.col("split").isin("ft", "od_test"), "od").otherwise("id")
+    assert audits.shared(out.withColumn("side", side), "doc", "side").count() == 0
+    with pytest.raises(quota.QuotaError, match="fine-tuning"):
+        splits.split_classes(rows.withColumn("title", F.lit(None).cast("string")), ["2"], 5, 5, 40, 30, 5, seed=2)
+    with pytest.raises(quota.QuotaError, match="want"):
+        splits.split_classes(rows, ["2"], 5_000, 5, 40, 30, 5, seed=2)
+
+
 def test_year_sizes(spark):
     rows = spark.range(8001).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") < 4001, 2000).when(F.col("id") < 8000, 2001).otherwise(1850).alias("year"))
     got = {r.year: (r.n, r.test, r.train, r.valid) for r in splits.year_sizes(rows, 2000, 0.05).collect()}
