@@ -249,18 +249,20 @@ def stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def components(edges: DataFrame, name: str = "star") -> DataFrame:
     """(u, v): for every node of the edges (u, v), the smallest node of its component; alternating large and small stars.
 
-    Each round takes group minima, which are combined before the shuffle, and one join by node; no node's
-    neighbours are ever gathered in one row. Rounds are cut by a written table, so lineage stays short.
+    Each round takes group minima, which are combined before the shuffle, and two joins by node; no node's
+    neighbours are ever gathered in one row. The minima are written before they are joined: a join with the aggregate
+    itself would keep its partitioning, and adaptive execution couldn't split the rows of a component's hub. Rounds are
+    cut by written tables, so lineage stays short.
     """
     edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     was = mark(edges)
     while was[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         edges = stored(small, name)
         now = mark(edges)
