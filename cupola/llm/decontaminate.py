@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cupola.llm.common import stored, table
+from cupola.llm.common import give_back, stored, table
 from cupola.llm.fmindex import FMIndex
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,7 +44,7 @@ BLOCK_WORDS = 1_000_000
 #: Different benchmark words that an indexing task holds at once.
 VOCABULARY = 2_000_000
 #: A shard's index is built when it has this many symbols or comes from this many words.
-SHARD_SYMBOLS, SHARD_WORDS = 2_000_000, 4_000_000
+SHARD_SYMBOLS, SHARD_WORDS = 1_000_000, 2_000_000
 #: A-Z lowered, other bytes outside words blank.
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
@@ -145,25 +145,29 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _sharded(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], shortest: int) -> Iterator[tuple[list[pa.Array], list[str | None], Shard]]:
-    """(keys, texts, shard) of the documents (key, text) of a task, in shards of bounded size (a longer document is one by itself)."""
+def _sharded(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], shortest: int, spans: bool = False) -> Iterator[tuple[list[pa.Array], list[str | None], Shard]]:
+    """(keys, texts, shard) of the documents (key, text) of a task, in shards of bounded size (a longer document is one by itself). Texts are kept only where spans are wanted."""
     get, keys, texts, ids, symbols, words = number.get, [], [], [], 0, 0
     for batch in batches:
         rows = batch.column(1)
         for i in range(0, len(rows), 256):  # a bounded part of a batch at a time
             part = rows.slice(i, 256)
             keys.append(batch.column(0).slice(i, 256))
-            for t, raw in zip(part.to_pylist(), part.cast(pa.binary()).to_pylist(), strict=True):
+            for at, raw in enumerate(part.cast(pa.binary()).to_pylist()):
                 found = raw.translate(LOWERED).split() if raw else []
                 x = np.fromiter(map(get, found, repeat(0)), np.int64, len(found)).astype(np.int32)
                 symbols, words = symbols + int((x > 0).sum()), words + len(x)
-                texts.append(t)
+                if spans:
+                    texts.append(part[at].as_py())
                 ids.append(x)
             if symbols >= SHARD_SYMBOLS or words >= SHARD_WORDS:
                 yield keys, texts, Shard(ids, shortest, len(number))
                 keys, texts, ids, symbols, words = [], [], [], 0, 0
     if keys:
         yield keys, texts, Shard(ids, shortest, len(number))
+    del keys, texts, ids
+    pa.default_memory_pool().release_unused()
+    give_back()  # what shards took, before the worker's next stage
 
 
 def _one_pass(docs: DataFrame, items: list[tuple[str, str | None]], size: int, spans: bool) -> DataFrame:
@@ -173,8 +177,8 @@ def _one_pass(docs: DataFrame, items: list[tuple[str, str | None]], size: int, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = numbered(t for _, t in shared.value)
         windows = Windows(shared.value, number, size)
-        for keys, texts, shard in _sharded(batches, number, int(windows.lengths.min(initial=size))):
-            n = len(texts)
+        for keys, texts, shard in _sharded(batches, number, int(windows.lengths.min(initial=size)), spans):
+            n = len(shard.counts)
             n_hit, items, ranges = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
             for d, hit, own in shard.found(windows):
                 n_hit[d], items[d] = hit.sum(), own
