@@ -9,15 +9,19 @@ than HOT times are dealt to SALTS places each, so none of them fills a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cupola.functions import structure as S
 from cupola.functions.columns import tokens
 from cupola.functions.molecules import normal_form, readable
-from cupola.sources.tables import written
+from cupola.sources.tables import spread, written
 
 FEW = 500_000
+#: The same of reactions, whose rows are wider.
+FEW_REACTIONS = 100_000
 HOT, SALTS = 1_000_000, 64
 #: What is known of a molecule, in the order of the dictionary's columns.
 MEASURES = ("key", "neutral_key", "heavy", "carbon", "bonds", "n_tokens")
@@ -25,7 +29,7 @@ MEASURES = ("key", "neutral_key", "heavy", "carbon", "bonds", "n_tokens")
 
 def measured(strings: DataFrame) -> DataFrame:
     """(smi, n, number, form, key, neutral_key, heavy, carbon, bonds, n_tokens) of each distinct string of column smi. n counts it; number is that of its molecule, form its spelling; what isn't readable has no form and no measures."""
-    distinct = strings.where("smi is not null").groupBy("smi").agg(F.count("*").alias("n"))
+    distinct = spread(strings.where("smi is not null").groupBy("smi").agg(F.count("*").alias("n")), "smi")
     own = distinct.withColumn("_own", F.when(readable(F.col("smi")), normal_form("smi")))
     # the strings that aren't readable are parsed as none
     parsed = S.with_molecules(own, _m="_own").select("*", F.array("_m", S.neutral(F.col("_m"))).alias("_both"))
@@ -53,3 +57,11 @@ def joined(rows: DataFrame, dictionary: DataFrame, column: str, few: int = FEW,
     dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     copies = known.withColumn("_at", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > hot, SALTS - 1).otherwise(0)))).drop("n")
     return dealt.join(copies, (F.col(column) == F.col("_by")) & (F.col("_salt") == F.col("_at")), "left").drop("_by", "_salt", "_at")
+
+
+def once(rows: DataFrame, column: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with the columns that make(strings) adds to the distinct values of a string column, each worked on once, by all tasks; NULL counts as the empty string. The column itself goes."""
+    named = rows.withColumn(column, F.coalesce(column, F.lit("")))
+    distinct = spread(named.groupBy(column).agg(F.count("*").alias("n")), column)
+    known = written(make(distinct), "once")
+    return joined(named, known, column, few=FEW_REACTIONS, by=column).select(*[c for c in rows.columns if c != column], *[c for c in known.columns if c not in (column, "n")])

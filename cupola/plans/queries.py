@@ -12,6 +12,7 @@ from cupola.operators import audits, checks, dedup, dictionary, quota, splits
 from cupola.operators.ordering import ranked
 from cupola.plans.surrogates import SEED, arrivals, keyed, reactions, table
 from cupola.sources import export
+from cupola.sources.tables import spread
 
 CODES = ["1.3", "2.8", "3", "4.4.1", "1.2.0"]
 SPEC = [[("test", 120)], [("valid", 80), ("extra", 40)], [("train", 500)]]
@@ -308,7 +309,7 @@ SPELLINGS = """case p_partkey % 4 when 0 then concat(c, 'O') when 1 then concat(
 
 
 def _parts(spark, sf, *columns):
-    return table(spark, sf, "part").withColumn("c", F.expr("repeat('C', cast(1 + p_size % 7 as int))")).select("p_partkey", *columns)
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("c", F.expr("repeat('C', cast(1 + p_size % 7 as int))")).select("p_partkey", *columns)
 
 
 def mapped_reactions(spark, sf):
@@ -324,7 +325,7 @@ def changed_bonds_text(spark, sf):
 
 def reagent_split(spark, sf):
     """Mapped reactions with their reagents told apart by the reaction centre."""
-    return S.with_reagents(mapped_reactions(spark, sf), "rxn").drop("rxn")
+    return dictionary.once(mapped_reactions(spark, sf), "rxn", lambda strings: S.with_reagents(strings, "rxn"))
 
 
 def neutral_pairs(spark, sf):

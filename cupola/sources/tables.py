@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and rows dealt evenly over the tasks."""
 
 from __future__ import annotations
 
@@ -19,3 +19,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/cupola-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt evenly by a hash of the columns. A small file is read by one task however much its rows cost, and adaptive execution makes one task of a few MB; parts of a given number stay as they are."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
