@@ -345,7 +345,8 @@ def canonical_spellings(spark, sf):
 def reaction_fingerprints(spark, sf):
     """Summed circular fingerprints of both sides of mapped reactions, reagents left out: (p_partkey, side, bit, n)."""
     rows = reagent_split(spark, sf).select("p_partkey", F.explode(F.array(F.struct(F.lit("reactants").alias("side"), F.col("reactants").alias("text")), F.struct(F.lit("products").alias("side"), F.col("products").alias("text")))).alias("s"))
-    return S.with_summed_bits(rows.select("p_partkey", "s.side", "s.text"), "text").select("p_partkey", "side", F.explode("bits").alias("x")).select("p_partkey", "side", "x.bit", "x.n")
+    summed = dictionary.once(rows.select("p_partkey", "s.side", "s.text"), "text", lambda strings: S.with_summed_bits(strings, "text"))
+    return summed.select("p_partkey", "side", F.explode("bits").alias("x")).select("p_partkey", "side", "x.bit", "x.n")
 
 
 def atom_map_numbers(spark, sf):
