@@ -318,9 +318,13 @@ def mapped_reactions(spark, sf):
 
 def changed_bonds_text(spark, sf):
     """Bonds that change, from mapped reaction strings."""
-    left, _, right = S.sides_of(F.col("rxn"))
-    sides = S.with_molecules(mapped_reactions(spark, sf).select("p_partkey", left.alias("l"), right.alias("r")), before="l", after="r")
-    return sides.select("p_partkey", F.explode(S.changed_bonds(F.col("before"), F.col("after"))).alias("x")).select("p_partkey", "x.a", "x.b", "x.ord")
+
+    def changed(strings):
+        left, _, right = S.sides_of(F.col("rxn"))
+        sides = S.with_molecules(strings.select("rxn", "n", left.alias("l"), right.alias("r")), before="l", after="r")
+        return sides.select("rxn", "n", S.changed_bonds(F.col("before"), F.col("after")).alias("changed"))
+
+    return dictionary.once(mapped_reactions(spark, sf), "rxn", changed).select("p_partkey", F.explode("changed").alias("x")).select("p_partkey", "x.a", "x.b", "x.ord")
 
 
 def reagent_split(spark, sf):
