@@ -334,9 +334,12 @@ def reagent_split(spark, sf):
 
 def neutral_pairs(spark, sf):
     """Whether two molecules are one, and one once protons have balanced their charges."""
-    pair = S.with_molecules(_parts(spark, sf, F.expr(CHARGED).alias("pair")), m="pair").select("p_partkey", "m", F.transform("m", S.neutral).alias("n"))
-    keys = pair.select("p_partkey", *[F.transform(c, S.key_of).alias(c) for c in ("m", "n")])
-    return keys.select("p_partkey", (F.get("m", F.lit(0)) == F.get("m", F.lit(1))).alias("same"), (F.get("n", F.lit(0)) == F.get("n", F.lit(1))).alias("same_neutral"))
+    rows = _parts(spark, sf, F.expr(CHARGED).alias("pair"))
+    known = dictionary.measured(rows.select(F.explode("pair").alias("smi"))).select("smi", "n", "key", "neutral_key")
+    for side in range(2):
+        own = dictionary.joined(rows.withColumn("s", F.get("pair", F.lit(side))), known, "s")
+        rows = own.drop("s").withColumnsRenamed({"key": f"k{side}", "neutral_key": f"n{side}"})
+    return rows.select("p_partkey", (F.col("k0") == F.col("k1")).alias("same"), (F.col("n0") == F.col("n1")).alias("same_neutral"))
 
 
 def canonical_spellings(spark, sf):
