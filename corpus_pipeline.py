@@ -24,13 +24,21 @@ STAGES = [
     ("byte_bpe", bpe.stage),
 ]
 
+#: Rows that Spark sends to a worker at once, at most: texts may be long, and a worker shares its executor's memory.
+SENT = 1024
+
 #: The stages learn a model, follow chains of links and encode by merge ranks, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the whole of documents, each stage's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    docs, setting = table(spark, sf_dir, "documents"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(SENT, int(before)) if int(before) > 0 else SENT)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(setting, before)
     return docs

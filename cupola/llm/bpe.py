@@ -31,6 +31,10 @@ from cupola.llm.common import give_back, table
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Stored prefixes and pieces of a task before its dictionaries start anew.
 STORED = 1_000_000
+#: The same in the pipeline, whose workers share an executor's memory with what earlier stages left in it.
+STAGED = 250_000
+#: Rows of a batch whose texts and ids stand in Python's memory at once in the pipeline.
+SLICE = 128
 
 
 @lru_cache(1)
@@ -43,8 +47,8 @@ def splitter(pattern: str = public_tokenizers.PATTERN):
 class PrefixBpe:
     """Encoder and decoder for a rank file: token bytes by id, the lower the rank the earlier the merge."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int | None = None):
+        self.ranks, self.most = ranks, most or STORED
         self.longest = max(map(len, ranks), default=1)
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for b, r in ranks.items():
@@ -58,9 +62,9 @@ class PrefixBpe:
         self.forget()
 
     @classmethod
-    def load(cls, path: str = VOCABULARY) -> PrefixBpe:
+    def load(cls, path: str = VOCABULARY, most: int | None = None) -> PrefixBpe:
         with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, most)
 
     def forget(self) -> None:
         #: prefix -> (last token, length of the prefix before that token)
@@ -134,7 +138,7 @@ class PrefixBpe:
         if len(piece) > 512:
             return self._encode_long(piece)
         stored = self.stored
-        if len(stored) > STORED:
+        if len(stored) > self.most:
             self.forget()
             stored = self.stored
         if piece not in stored:
@@ -174,7 +178,7 @@ class PrefixBpe:
         try:
             return np.frombuffer(b"".join([known[p] for p in parts]), "<u4")
         except KeyError:
-            if len(known) > STORED:
+            if len(known) > self.most:
                 self.pieces = known = {}
             for p in parts:
                 if p not in known:
@@ -230,9 +234,9 @@ class PrefixBpe:
 
 
 @lru_cache(2)
-def encoder(path: str = VOCABULARY) -> PrefixBpe:
-    """One encoder a worker process; its tables are bounded by the vocabulary."""
-    return PrefixBpe.load(path)
+def encoder(path: str = VOCABULARY, most: int | None = None) -> PrefixBpe:
+    """One encoder a worker process and size of its stores; its other tables are bounded by the vocabulary."""
+    return PrefixBpe.load(path, most)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -277,13 +281,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: doc_id and the token ids of every document (array of int)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder()
+        bpe = encoder(most=STAGED)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                ids = [bpe.encode(t).astype(np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).slice(i, 512).to_pylist()]
+            for i in range(0, batch.num_rows, SLICE):
+                ids = [bpe.encode(t).astype(np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).slice(i, SLICE).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 512), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, SLICE), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(np.diff(ends).astype(np.int64))], names=["doc_id", "ids", "n_tokens"])
+            del batch
+            pa.default_memory_pool().release_unused()
+        # a worker that waits for its next task holds no stores
+        bpe.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long")

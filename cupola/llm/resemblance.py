@@ -1,12 +1,13 @@
 """Near copies by resemblance: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash doesn't serve as a source of candidates here: at similarity 0.8 fingerprints differ in about 10 of 64 bits, and
-with a radius wide enough a vantage-point tree can't divide fingerprints, as those of unrelated texts differ in
-about 32. Candidates are texts that agree in a band of MinHash values: BANDS bands of ROWS values each find a pair of
-similarity s with probability 1 - (1 - s^ROWS)^BANDS, 0.988 at 0.8, 0.9994 at 0.85. Whether a candidate is a near
-copy is decided by its exact similarity, so no other pair is linked.
-
-Only distinct word sequences are compared. First every member of a bucket is held against the bucket's smallest. Of the
+The first candidates come from `simhash`: fingerprints of the shingles, the vantage-point tree's exact links at RADIUS bits,
+and components of them, whose members are each held against the component's smallest text. That can't be all: at similarity
+0.8 fingerprints differ in about 10 of 64 bits, and with a radius so wide the tree can't divide fingerprints, as those of
+unrelated texts differ in about 32. So texts that agree in a band of MinHash values are candidates too: BANDS bands of ROWS
+values each find a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS, 0.988 at 0.8, 0.9994 at 0.85. Whether a
+candidate is a near copy is decided by its exact similarity, so no other pair is linked.
+
+Only distinct word sequences are compared. After the tree's pairs every member of a bucket is held against the bucket's smallest. Of the
 texts in buckets that are still apart, the shingles are counted. Those that RARE texts or fewer have bring together the
 pairs that share one, a bounded number a shingle; two texts that share none of them have no more in common than the
 other shingles of either, so most can't reach the similarity with anyone else, whatever their bands, and are left out
@@ -29,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cupola.llm.common import give_back, stored
-from cupola.llm.simhash import components
+from cupola.llm.simhash import components, folded, stars
 
 SEED = 42
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 8
+#: Bits by which fingerprints that the tree links differ, at most.
+RADIUS = 3
 #: Turns with further pivots.
 TURNS = 6
 #: Texts that have a rare shingle, at most.
@@ -95,21 +98,22 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, size, bands) of every row; size is the number of distinct shingles."""
+    """(id, key, size, bands, fp) of every row; size is the number of distinct shingles, fp their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            keys, sizes, found = [], [], []
+            keys, sizes, found, fps = [], [], [], []
             for words in map(words_of, batch.column(1).cast(pa.binary()).to_pylist()):
                 hashes = shingles(words)
                 keys.append(key_of(words))
                 sizes.append(len(hashes))
                 found.append(bands(hashes))
-            made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "key", "size", "bands"])
+                fps.append(folded(hashes))
+            made = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "key", "size", "bands", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, size long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, size long, bands array<long>, fp long")
 
 
 def bitmap(numbers: DataFrame) -> np.ndarray:
@@ -225,6 +229,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         conf.set(setting, before)
 
 
+def tree_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) of keys, from (key, fp): of texts whose fingerprints the vantage-point tree connects, each with the smallest; a row a text."""
+    roots = stored(components(stars(distinct.select("fp").distinct(), radius), "treestar").select(F.col("u").alias("fp"), F.col("v").alias("root")), "treeroot")
+    rooted = distinct.select("key", "fp").join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    # minima are written before they are joined, so the texts of a large component can be split
+    least = stored(rooted.groupBy("root").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "treeleast")
+    return rooted.join(least, "root").where("key != v").select(F.col("key").alias("u"), "v")
+
+
 def _members(distinct: DataFrame) -> DataFrame:
     """(band, key, pivot) of the bands that several texts (key, bands) have; the pivot is the band's smallest key."""
     groups = distinct.select("key", F.explode("bands").alias("band")).groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -256,10 +269,11 @@ def _apart(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = stored(prints(docs, id_col, text_col), "resemblance")
-    distinct = stored(found.where(F.size("bands") > 0).groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "bands")
-    members = _members(distinct)
-    texts = texts_of(stored(members.select("key").distinct(), "needed"), docs, text_col)
-    tried = stored(members.where("key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
+    distinct = stored(found.where(F.size("bands") > 0).groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "bands")
+    linked, members = stored(tree_pairs(distinct), "tree"), _members(distinct)
+    needed = members.select("key").unionByName(linked.select(F.col("u").alias("key"))).unionByName(linked.select(F.col("v").alias("key")))
+    texts = texts_of(stored(needed.distinct(), "needed"), docs, text_col)
+    tried = stored(linked.unionByName(members.where("key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v"))).distinct(), "pairs")
     edges, members = stored(confirmed(tried, texts), "copies"), members.select("band", "key")
     total = members.count()
     # only buckets that are apart matter from here on, and in them only texts that can be similar to another

@@ -52,7 +52,11 @@ def fingerprint(words: list[bytes], shingle: int = 3) -> int:
         return 0
     if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    hashes = np.fromiter(map(_hash, zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1)
+    return folded(np.fromiter(map(_hash, zip(*(words[i:] for i in range(shingle)))), np.uint64, len(words) - shingle + 1))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that more than half of them have."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -289,7 +293,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies one row stays, the first by (doc_id, a hash of all its columns).
 
-    It has its own rule, five-word shingles and similarity 0.8; the radius of op10 binds its query only. Rows are
+    It has its own rule, five-word shingles and similarity 0.8, found by op10's tree first and MinHash bands after it; the
+    radius of op10 binds its query only. Rows are
     chosen, not ids: of rows that share an id and belong to different components each can stay, and of rows alike
     in all columns one does. Rows without an id can't be told apart and stay. Null and texts without words are
     copies of each other. The texts are moved once, by the join with the chosen rows.
