@@ -12,7 +12,7 @@ from cupola.operators import audits, checks, dedup, dictionary, quota, splits
 from cupola.operators.ordering import ranked
 from cupola.plans.surrogates import SEED, arrivals, keyed, reactions, table
 from cupola.sources import export
-from cupola.sources.tables import spread
+from cupola.sources.tables import spread, written
 
 CODES = ["1.3", "2.8", "3", "4.4.1", "1.2.0"]
 SPEC = [[("test", 120)], [("valid", 80), ("extra", 40)], [("train", 500)]]
@@ -384,7 +384,8 @@ def unknown_counts(spark, sf):
 
 def unreadable_filter(spark, sf):
     """Parts as molecules, some of them spoilt by their number, and texts: those that aren't readable."""
-    parts = molecules(spark, sf).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("smiles", F.element_at(F.array(*map(F.lit, SPOILT)), (F.col("p_partkey") % len(SPOILT) + 1).cast("int"))).alias("smiles"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.expr(MOLECULE).alias("smiles"))
+    parts = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("smiles", F.element_at(F.array(*map(F.lit, SPOILT)), (F.col("p_partkey") % len(SPOILT) + 1).cast("int"))).alias("smiles"))
     texts = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("smiles"))
     return parts.unionByName(texts).where(~M.readable(F.col("smiles"))).select("id")
 
