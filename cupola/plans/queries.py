@@ -214,7 +214,8 @@ def time_set_sizes(spark, sf):
 
 
 def cutoff_training_sets(spark, sf):
-    split = _years(spark, sf)
+    # read four times: the sizes, twice the counts, the rows
+    split = written(_years(spark, sf).select("key", "year", "split"), "yearsplit")
     most = splits.controlled_size(split, CUTOFFS, MOST_TRAIN, control=True)
     return splits.cutoff_sets(split, CUTOFFS, most, MOST_VALID, SEED).select("cutoff", "split", "key")
 
