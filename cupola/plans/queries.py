@@ -253,6 +253,7 @@ def audit_pairwise_overlap(spark, sf):
 def audit_author_containment(spark, sf):
     """The author split's own sets: its out-of-distribution rows against its training rows, with how many of their authors train."""
     split = splits.split_author_documents(reactions(spark, sf, authors=True), AUTHOR_SPEC, SEED, 20, 0, "Cu")
+    split = written(split.where("split in ('author_od_test', 'doc_od_test', 'train')").select("key", "authors", "split"), "authorsplit")
     return audits.containment(split.where("split in ('author_od_test', 'doc_od_test')"), split.where("split = 'train'"))
 
 
