@@ -35,7 +35,7 @@ def claims(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def author_levels(rows: DataFrame, spec: list, seed: int, overbuffer: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """((doc, author_level), [(level, last author rank)]): a level takes authors in order until their claimed documents hold its target plus the overbuffer."""
-    # tables of authors and documents are written, as each level reads them again; rows are not
+    # tables of authors and documents are written, as each level reads them again
     pairs = written(author_documents(rows), "authordocuments")
     claimed = written(claims(pairs, author_ranks(pairs, seed)), "claims")
     sizes = rows.groupBy("doc").agg(F.count("*").alias("cnt"))
@@ -57,11 +57,12 @@ def author_levels(rows: DataFrame, spec: list, seed: int, overbuffer: int) -> tu
 def split_authors(rows: DataFrame, spec: list, seed: int, overbuffer: int = 0, leeway: int = 0, jurisdiction: str | None = None) -> tuple[DataFrame, list[dict]]:
     """Nested split: author levels by first claim, each split further by documents; and of each author level its number and `n_authors_used`, the authors it and those before it used up.
 
-    spec: author levels of document levels of (name, size). Only (key, doc, author_level) pass through the levels; the rows
-    meet what was assigned in one join. A key stands in one row, as dedup leaves it.
+    spec: author levels of document levels of (name, size). Only (key, doc, author_level) pass through the levels; the rows,
+    which are read four times, are written once and meet what was assigned in one join. A key stands in one row, as dedup leaves it.
     """
     levels_of([sum(([*inner] for inner in level), []) for level in spec])  # names and sizes are sound
     known = rows.withColumn("doc", core_title(F.col("title"))).where(F.col("doc").isNotNull() & (F.size("authors") > 0))
+    known = written(known, "authorrows")
     levels, ends = author_levels(known.select("key", "doc", "authors"), spec, seed, overbuffer)
     pools, out = written(known.select("key", "doc").join(levels, "doc"), "authorpools"), None
     for k, level in enumerate(spec):
