@@ -3,13 +3,19 @@
 The fingerprint of a document has bit b set if more than half of its shingles' 64-bit hashes have it. Documents
 are linked if their fingerprints differ in at most `radius` bits, and a component is a set of linked documents.
 
-Exact pairs come from a vantage-point tree whose upper part deals the distinct fingerprints to shards. A node
-holds a vantage fingerprint v and a cut c; a fingerprint at distance d from v goes inside if d <= c and outside if
-d > c - radius, so one within `radius` of the boundary goes to both. By the triangle inequality two fingerprints
-at most `radius` apart have distances from v that differ by at most `radius`, so they meet in some shard: no pair
-is lost, whatever the vantage points are. They only decide how even the shards are, so they may come from a
-bounded sample, and a shard that is still too large is divided again by a tree of its own. Inside a shard the
-tree goes on down to small leaves, in which all pairs are compared, block by block.
+Exact pairs come from vantage-point trees, a tree a shard of distinct fingerprints. Shards are dealt by blocks of bits:
+the 64 bits are parted into radius + 1 blocks, and two fingerprints at most `radius` apart are alike in all bits of one
+of them, as each bit that differs spoils one block. A fingerprint goes to one shard a block, by a hash of that block's
+bits, so it is dealt radius + 1 times however many fingerprints there are, and a link lies whole in some shard. (One tree
+over all of them would send those near a boundary to both sides at every node; its rows would grow with a power of the
+input above 1.)
+
+A node of a tree holds a vantage fingerprint v and a cut c; a fingerprint at distance d from v goes inside if d <= c and
+outside if d > c - radius, so one within `radius` of the boundary goes to both. By the triangle inequality two
+fingerprints at most `radius` apart have distances from v that differ by at most `radius`, so they meet in some leaf: no
+pair is lost, whatever the vantage points and the parting of the bits are. They only decide how even the work is, so
+they may come from a bounded sample, and a shard that is too large, as many are alike in a block, is divided by a tree
+first. Inside a shard the tree goes down to small leaves, in which all pairs are compared, block by block.
 
 A shard returns, instead of its pairs, one row (fingerprint, smallest fingerprint connected in the shard): linear
 in the shard's size, with the same connectivity. These stars are merged by alternating large-star and small-star
@@ -34,9 +40,9 @@ from pyspark.sql.types import MapType
 from cupola.llm.common import stored, table
 
 SEED = 42
-#: Fingerprints sampled for the vantage points of the upper tree.
+#: Fingerprints sampled for the parting of the bits.
 SAMPLE = 20_000
-#: Fingerprints wanted in a shard; the tree stops dividing a sample below that share.
+#: Fingerprints wanted in a shard; a tree that divides one stops below that share of its sample.
 SHARD = 4_000
 #: A shard of more points is divided again by a tree from about SUBSAMPLE of its own, at most DEPTH times; TREES such trees are sent to the tasks at once.
 LARGEST, SUBSAMPLE, DEPTH, TREES = 40_000, 8_192, 8, 4_000
@@ -97,7 +103,7 @@ def best_cut(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple
 
 
 def grow(sample: np.ndarray, radius: int, leaf: int) -> list[tuple]:
-    """The upper tree as a list of nodes: (vantage, cut, inside, outside), or (None, shard, 0, 0) for a leaf. Node 0 is the root."""
+    """A tree as a list of nodes: (vantage, cut, inside, outside), or (None, shard, 0, 0) for a leaf. Node 0 is the root."""
     rng, nodes, todo, shards = np.random.default_rng(SEED), [None], [(0, sample)], 0
     while todo:
         at, points = todo.pop()
@@ -168,19 +174,30 @@ def linked(points: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def blocks(sample: np.ndarray, radius: int) -> list[int]:
+    """radius + 1 masks, as signed longs, that part the 64 bits; bits that divide the sample evenly are dealt to all of them in turn."""
+    ones = np.unpackbits(sample.view(np.uint8), bitorder="little").reshape(-1, 64).mean(0)
+    order = np.argsort(np.abs(ones - 0.5), kind="stable")
+    return [int(np.bitwise_or.reduce(np.uint64(1) << order[k :: radius + 1].astype(np.uint64)).view(np.int64)) for k in range(radius + 1)]
+
+
 def shards(distinct: DataFrame, radius: int = 2, shard: int = SHARD, largest: int = LARGEST, sampled: int = SAMPLE, subsampled: int = SUBSAMPLE) -> DataFrame:
     """(shard, fp): the distinct fingerprints of column fp, each in every shard that it belongs to.
 
-    A first tree comes from a sample that the driver holds. A shard of more than `largest` points gets a tree of its own,
+    Each goes to a shard a block of bits, `shard` of them to one on average; where that saves no comparisons all are one
+    shard. A shard of more than `largest` points, as many are alike in a block, gets a tree of its own,
     grown in a task from a sample of that shard, and its points are dealt anew, until no shard is larger or none of the
     larger ones can be divided. So shards stay bounded however many fingerprints there are; at most TREES trees are sent
     to the tasks at once.
     """
-    spark, n = distinct.sparkSession, distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp", F.lit(SEED)), "fp").limit(sampled).collect()], np.int64).view(np.uint64)
-    first = grow(sample, radius, max(64, int(len(sample) * min(1.0, shard / max(1, n)))))
-    whole = distinct.select(F.lit("").alias("shard"), "fp")
-    dealt = stored(_dealt(whole, {"": first}, radius), "shard")
+    n = distinct.count()
+    # radius + 1 deals into so many shards each
+    many, name = min(-(-n // shard), 1 << (64 // (radius + 1))), F.lit("")
+    if many > radius + 1:
+        sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp", F.lit(SEED)), "fp").limit(sampled).collect()], np.int64).view(np.uint64)
+        place = lambda mask: F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(mask))), F.lit(many))
+        name = F.explode(F.array(*[F.concat(F.lit(f"{k}/"), place(mask).cast("string")) for k, mask in enumerate(blocks(sample, radius))]))
+    dealt = stored(distinct.select(name.alias("shard"), "fp"), "shard")
     done = None
     for depth in range(1, DEPTH + 1):
         large = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > largest)
