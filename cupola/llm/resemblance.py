@@ -231,7 +231,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def tree_pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) of keys, from (key, fp): of texts whose fingerprints the vantage-point tree connects, each with the smallest; a row a text."""
-    roots = stored(components(stars(distinct.select("fp").distinct(), radius), "treestar").select(F.col("u").alias("fp"), F.col("v").alias("root")), "treeroot")
+    roots = components(stars(distinct.select("fp").distinct(), radius), "treestar").select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.select("key", "fp").join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
     # minima are written before they are joined, so the texts of a large component can be split
     least = stored(rooted.groupBy("root").agg(F.min("key").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "treeleast")
@@ -257,9 +257,9 @@ def _members(distinct: DataFrame) -> DataFrame:
     return stored(posts.join(groups, "band").select("band", "key", "pivot"), "bucket")
 
 
-def _apart(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members of buckets in several components, with root and main, the bucket's largest; those buckets)."""
-    roots = components(edges, "copystar").select(F.col("u").alias("key"), F.col("v").alias("root"))
+def _apart(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets in several components, with root and main, the bucket's largest; those buckets). links are the components."""
+    roots = links.select(F.col("u").alias("key"), F.col("v").alias("root"))
     placed = stored(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "placed")
     counts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")).where("k > 1")
@@ -267,6 +267,14 @@ def _apart(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.join(main.select("band", "main"), "band"), main
 
 
+def _with(links: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, bool]:
+    """(the components with those of the written pairs that are near copies, whether they grew)."""
+    if pairs.isEmpty():
+        return links, False
+    new = components(links.unionByName(confirmed(pairs, texts)), "copystar")
+    return new, new.count() > links.count()
+
+
 def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = stored(prints(docs, id_col, text_col), "resemblance")
     distinct = stored(found.where(F.size("bands") > 0).groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "bands")
@@ -274,40 +282,43 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     needed = members.select("key").unionByName(linked.select(F.col("u").alias("key"))).unionByName(linked.select(F.col("v").alias("key")))
     texts = texts_of(stored(needed.distinct(), "needed"), docs, text_col)
     tried = stored(linked.unionByName(members.where("key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v"))).distinct(), "pairs")
-    edges, members = stored(confirmed(tried, texts), "copies"), members.select("band", "key")
+    # what is found later is joined to the components so far, not to all edges; where nothing is found they stay as they are
+    links, members = components(confirmed(tried, texts), "copystar"), members.select("band", "key")
     total = members.count()
     # only buckets that are apart matter from here on, and in them only texts that can be similar to another
-    mixed, _ = _apart(members, edges)
+    mixed, _ = _apart(members, links)
     shared, pairs = shared_shingles(stored(mixed.select("key").distinct(), "needed"), distinct.select("key", "size"), texts)
     sized = lambda k: shared.select(F.col("key").alias(k), F.col("size").alias(f"size_{k}"), F.col("common").alias(f"common_{k}"))
     pairs = pairs.join(sized("u"), "u").join(sized("v"), "v").where(_suffices(F.least("common_u", "common_v") + F.col("n"), "size_u", "size_v")).select("u", "v")
     pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-    edges, tried = stored(edges.unionByName(confirmed(pairs, texts)), "copies"), tried.unionByName(pairs)
+    links, tried = _with(links, pairs, texts)[0], tried.unionByName(pairs)
     # a text that can't be similar to the smallest of a bucket, nor to one of the size of what it shares, is out of that bucket
     members = mixed.select("band", "key").join(shared.where(F.col("common") / F.col("size") >= LEAST), "key")
     members = members.join(members.groupBy("band").agg(F.min("size").alias("least")), "band").withColumn("least", F.greatest("least", "common"))
     members = stored(members.where(_suffices(F.col("common"), "size", "least")).drop("least"), "bucket")
-    links = None
+    mixed, main = _apart(members, links)
     for turn in range(TURNS + 1):
-        mixed, main = _apart(members, edges)
         few = mixed.where("root != main").select("band", F.col("key").alias("u"), F.col("root").alias("own"), "main", F.col("size").alias("size_u"), F.col("common").alias("common_u"))
         # all pairs that are left, at most: once they are no more than the buckets' members they are all compared
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        before, links = links, edges.count()
-        if left <= total or turn == TURNS or links == before:
+        if left <= total or turn == TURNS:
             break
         # else another member of each bucket's main component is held against those outside, a row a member; the first is the one with the least of its own
         own = F.col("size") - F.col("common") if turn == 0 else F.lit(0)
         pivots = mixed.where("root = main").groupBy("band").agg(F.min_by("key", F.struct(own, F.xxhash64("key", F.lit(turn)))).alias("v"))
         pairs = few.join(pivots, "band").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        edges, tried = stored(edges.unionByName(confirmed(pairs, texts)), "copies"), tried.unionByName(pairs)
-    # members of other components than the bucket's largest, against all members of other components than their own,
-    # if what neither has among the rare would suffice
-    pairs = few.join(mixed.select("band", F.col("key").alias("v"), "root", "size", "common"), "band").where("own != root and (root = main or u < v)")
-    pairs = pairs.where(_suffices(F.least("common_u", "common"), "size_u", "size")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = edges.unionByName(confirmed(stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), texts))
-    links = components(edges, "copystar").select(F.col("u").alias("key"), F.col("v").alias("root"))
+        (links, more), tried = _with(links, pairs, texts), tried.unionByName(pairs)
+        if not more:
+            break
+        mixed, main = _apart(members, links)
+    if left:
+        # members of other components than the bucket's largest, against all members of other components than their own,
+        # if what neither has among the rare would suffice
+        pairs = few.join(mixed.select("band", F.col("key").alias("v"), "root", "size", "common"), "band").where("own != root and (root = main or u < v)")
+        pairs = pairs.where(_suffices(F.least("common_u", "common"), "size_u", "size")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        links, _ = _with(links, stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs"), texts)
+    links = links.select(F.col("u").alias("key"), F.col("v").alias("root"))
     rooted = found.select("id", "key").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
     return rooted.join(least, "root").select("id", "key", "component")

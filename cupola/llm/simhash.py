@@ -18,8 +18,8 @@ they may come from a bounded sample, and a shard that is too large, as many are
 first. Inside a shard the tree goes down to small leaves, in which all pairs are compared, block by block.
 
 A shard returns, instead of its pairs, one row (fingerprint, smallest fingerprint connected in the shard): linear
-in the shard's size, with the same connectivity. These stars are merged by alternating large-star and small-star
-steps over DataFrames. Only distinct fingerprints are searched, so groups of exact copies cost nothing here.
+in the shard's size, with the same connectivity. These stars are merged inside tasks, a bounded number a task, and what
+is left by alternating large-star and small-star steps over DataFrames. Only distinct fingerprints are searched, so groups of exact copies cost nothing here.
 
 Null or empty texts have fingerprint zero and are linked like any other. Repeated rows and ties keep all rows;
 a null id stays in the result and is ignored when a component's smallest id is taken. Other columns of the input
@@ -50,6 +50,8 @@ LARGEST, SUBSAMPLE, DEPTH, TREES = 40_000, 8_192, 8, 4_000
 LEAF = 384
 #: Vantage points tried at each node.
 TRIED = 24
+#: Edges that a task joins at once, in Python's memory.
+CHUNK = 100_000
 
 
 def fingerprint(words: list[bytes], shingle: int = 3) -> int:
@@ -267,18 +269,56 @@ def stars(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return shards(distinct, radius).groupBy("shard").applyInArrow(search, "u long, v long").distinct()
 
 
-def components(edges: DataFrame, name: str = "star") -> DataFrame:
-    """(u, v): for every node of the edges (u, v), the smallest node of its component; alternating large and small stars.
-
-    Each round takes group minima, which are combined before the shuffle, and two joins by node; no node's
-    neighbours are ever gathered in one row. The minima are written before they are joined: a join with the aggregate
+def joined(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of one task as stars: every node with the smallest one connected to it by the task's edges, or by `chunk` of them if there are more."""
+    parent, seen = {}, 0
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def stars_of(schema: pa.Schema) -> pa.RecordBatch:
+        nodes = list(parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, schema.field(0).type), pa.array([root(x) for x in nodes], schema.field(1).type)], names=["u", "v"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for i in range(0, batch.num_rows, chunk):
+            part = batch.slice(i, chunk)
+            if seen + part.num_rows > chunk:
+                yield stars_of(schema)
+                parent, seen = {}, 0
+            seen += part.num_rows
+            for u, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    if schema is not None:
+        yield stars_of(schema)
+
+
+def components(edges: DataFrame, name: str = "star", chunk: int = CHUNK) -> DataFrame:
+    """(u, v): for every node of the edges (u, v) but the smallest of its component, that smallest one. Edges join inside tasks first, then by alternating large and small stars.
+
+    A task turns `chunk` edges into stars, so a table of no more than that is done, and of a larger one less is
+    shuffled. Each round after that takes group minima, which are combined before the shuffle, and two joins by node; no
+    node's neighbours are ever gathered in one row. The minima are written before they are joined: a join with the aggregate
     itself would keep its partitioning, and adaptive execution couldn't split the rows of a component's hub. Rounds are
-    cut by written tables, so lineage stays short.
+    cut by written tables, so lineage stays short. They end when only stars are left.
     """
-    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    was = mark(edges)
-    while was[0]:
+    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields)
+    first = True
+    while True:
+        parts = max(1, -(-edges.count() // chunk))
+        if first or parts == 1:
+            edges = stored(edges.coalesce(parts).mapInArrow(lambda batches: joined(batches, chunk), kind), name)
+        if parts == 1:
+            return edges
+        first = False
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -286,11 +326,11 @@ def components(edges: DataFrame, name: str = "star") -> DataFrame:
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         edges = stored(small, name)
-        now = mark(edges)
-        if now == was:
-            break
-        was = now
-    return edges
+        # in stars no node has two edges upwards, or edges both ways
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if ends.where("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
